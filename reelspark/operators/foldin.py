@@ -32,7 +32,17 @@ def solve_side(
     vectors added; pass None where the rows per entity are known to be few.
     """
     known = factors.select(F.col("id").alias(other), "features")
-    joined = rows.join(known, other, "left").select(
+    joined = rows.join(known, other, "left")
+    hot = None if min_rows is None else hot_keys(rows, entity, min_rows)
+    return _solve_joined(joined, entity, other, rank, iters, reg, hot)
+
+
+def _solve_joined(
+    joined: DataFrame, entity: str, other: str, rank: int, iters: int, reg: float,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """``solve_side`` on rows that carry their ``features`` (null if unknown)."""
+    joined = joined.select(
         F.col(entity).cast("bigint").alias("id"),
         F.col(other).alias("_other"),
         F.col("rating").cast("double").alias("rating"),
@@ -45,13 +55,11 @@ def solve_side(
         placed = df.select(*fields).repartition("id").sortWithinPartitions("id")
         return placed.mapInArrow(solve_rows(rank, iters, reg), solved)
 
-    if min_rows is None:
+    if hot is None:
         return solve_whole(joined)
 
-    hot = hot_keys(rows, entity, min_rows).select(
-        F.col(entity).cast("bigint").alias("id"), "hot_slices"
-    )
-    hot = F.broadcast(hot)  # a bounded number of rows, see hot_keys
+    # A bounded number of rows, see hot_keys.
+    hot = F.broadcast(hot.select(F.col(entity).cast("bigint").alias("id"), "hot_slices"))
     whole = solve_whole(joined.join(hot, "id", "left_anti"))
     pieces = (
         joined.join(hot, "id")
@@ -77,6 +85,12 @@ def proposed_factors(
     factors. One id may be proposed by many entities."""
     known = factors.select(F.col("id").alias(other))
     missing = rows.join(known, other, "left_anti")
+    return _proposals(missing, solved, entity, other, rank, iters)
+
+
+def _proposals(
+    missing: DataFrame, solved: DataFrame, entity: str, other: str, rank: int, iters: int
+) -> DataFrame:
     if iters == 0:
         start = F.array_repeat(F.sqrt(F.col("rating").cast("double")).cast("float"), rank)
         return missing.select(F.col(other).alias("id"), start.alias("features"))
@@ -115,29 +129,39 @@ def create_missing(
     """Factors for the films in ``train`` that have none: (id, features, step).
 
     A film is solved in the first step whose prefixes hold it, by the users who
-    hold it there, and stays fixed. Users who meet no such film are not touched.
+    hold it there, and stays fixed. Only the rows of users who meet such a film
+    take part; each step writes the films it creates.
     """
+    known = item_factors.select(F.col("id").alias("movieId"), "features")
     unknown = cut(
-        train.join(item_factors.select(F.col("id").alias("movieId")), "movieId", "left_anti")
-        .select("userId", "movieId", "rn")
+        train.join(known, "movieId", "left_anti").select("userId", "movieId", "rating", "rn")
     )
     first = unknown.groupBy("movieId").agg(F.min("rn").alias("step"))
+    fresh = unknown.join(first, "movieId").filter(F.col("step") == F.col("rn"))
     steps = sorted(s["step"] for s in first.select("step").distinct().collect())  # at most M
+    if not steps:
+        return None
+    fresh = cut(fresh)
+    affected = cut(
+        train.join(fresh.select("userId").distinct(), "userId", "left_semi")
+        .join(known, "movieId", "left")
+        .select("userId", "movieId", "rating", "rn", "features")
+    )
     created = None
     for step in steps:
-        creators = (
-            unknown.filter(F.col("rn") == step)
-            .join(first.filter(F.col("step") == step), "movieId", "left_semi")
-            .select("userId")
-            .distinct()
+        here = fresh.filter(F.col("step") == step)
+        rows = affected.filter(F.col("rn") <= step).join(
+            here.select("userId"), "userId", "left_semi"
         )
-        rows = train.filter(F.col("rn") <= step).join(creators, "userId", "left_semi")
-        have = item_factors.select("id", "features")
         if created is not None:
-            have = have.unionByName(created.select("id", "features"))
-        _, proposed = fold_in_users(rows, have, rank, iters, reg, min_rows=None)
-        new = average_factors(proposed, rank).withColumn("step", F.lit(step))
-        created = cut(new if created is None else created.unionByName(new))
+            made = created.select(F.col("id").alias("movieId"), F.col("features").alias("_made"))
+            rows = rows.join(made, "movieId", "left").withColumn(
+                "features", F.coalesce("features", "_made")
+            )
+        solved = _solve_joined(rows, "userId", "movieId", rank, iters, reg)
+        proposed = _proposals(here, solved, "userId", "movieId", rank, iters)
+        new = cut(average_factors(proposed, rank).withColumn("step", F.lit(step)))
+        created = new if created is None else created.unionByName(new)
     return created
 
 

@@ -228,7 +228,7 @@ def f9_fold_in_users_mixed(spark, sf):
     "rated": _rows_sql("ratings", "known", "movieId"),
     **mixed_solve_steps("u", "rated", "userId"),
 }, """
-    SELECT movieId AS id, 1 AS pos, ROUND(AVG(CAST(CAST(b * d AS FLOAT) AS DOUBLE)), 5) AS value
+    SELECT movieId AS id, 1 AS pos, ROUND(CAST(CAST(AVG(CAST(CAST(b * d AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) AS value
     FROM rated JOIN u_done USING (userId) WHERE a1 IS NULL GROUP BY movieId"""))
 def f9_proposed_factors(spark, sf):
     items = v.known_film_factors(spark, sf, 1)
