@@ -48,6 +48,14 @@ def remove_ratings(ratings: DataFrame, pairs: DataFrame) -> DataFrame:
     return ratings.join(pairs.select(*KEY), KEY, "left_anti")
 
 
+def touched_rows(ratings: DataFrame, batch: DataFrame) -> DataFrame:
+    """The ratings that share a user or a film with the batch, in one pass."""
+    users = batch.select("userId").distinct().withColumn("_user", F.lit(True))
+    films = batch.select("movieId").distinct().withColumn("_film", F.lit(True))
+    marked = ratings.join(users, "userId", "left").join(films, "movieId", "left")
+    return marked.filter(F.coalesce("_user", "_film")).select(*ratings.columns)
+
+
 def _touched(ratings: DataFrame, batch: DataFrame, key: str, threshold: int) -> DataFrame:
     rows = ratings.join(batch.select(key).distinct(), key, "left_semi")
     small = (

@@ -11,6 +11,7 @@ from reelspark.operators.ratings import (
     add_to_collection,
     remove_ratings,
     select_for_update,
+    touched_rows,
     upsert_ratings,
 )
 from reelspark.plans.model import Model
@@ -33,14 +34,15 @@ def apply_batch(model: Model, batch: DataFrame, kind: str = "rate") -> Model:
     (userId, movieId). Users are solved against the current films; films without
     factors get the mean of what their users propose; then films are solved
     against the updated users. A user left without ratings keeps the old
-    factors. Only the small solved tables are written to the checkpoint folder;
-    ratings and factors are written by ``save_model``, which starts the next
-    batch without lineage.
+    factors. The ratings table is read once; only its rows that share a user or
+    film with the batch, and the factors solved from them, are written to the
+    shared folder. ``save_model`` writes ratings and factors, so the next batch
+    starts without lineage.
     """
     p = model.params
     ratings = _changed(model, batch, kind)
-    user_rows, item_rows = select_for_update(ratings, batch, p.threshold)
-    user_rows = cut(user_rows)
+    touched = cut(touched_rows(ratings, batch))
+    user_rows, item_rows = select_for_update(touched, batch, p.threshold)
 
     solved = cut(
         solve_side(user_rows, model.item_factors, "userId", "movieId", p.rank, p.iters, p.reg)

@@ -76,7 +76,6 @@ def test_predictions(spark, factors, rate):
 def test_recommendations_over_many_blocks(monkeypatch, factors, rate):
     monkeypatch.setattr(scoring, "USER_BLOCK", 3)
     monkeypatch.setattr(scoring, "ITEM_BLOCK", 4)
-    monkeypatch.setattr(scoring, "USER_BLOCKS_PER_CELL", 2)
     rng = np.random.default_rng(3)
     u = {i: rng.integers(0, 3, 2) for i in range(20)}
     v = {i: rng.integers(0, 3, 2) for i in range(30)}

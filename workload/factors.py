@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reelspark.functions.lineage import cut
 from reelspark.operators import factors as fa
 from reelspark.operators import foldin, scoring
 from reelspark.operators import ratings as ra
@@ -286,7 +287,8 @@ def _model(spark, sf) -> Model:
     users = v.known_customer_factors(spark, sf, 1)
     items = v.known_film_factors(spark, sf, 1)
     params = Params(rank=1, iters=ITERS, reg=REG)
-    return Model(params, users, items, v.base(spark, sf), no_ids(users), no_ids(items))
+    ratings = cut(v.base(spark, sf))  # read several times by an update
+    return Model(params, users, items, ratings, no_ids(users), no_ids(items))
 
 
 _APPLIED = {
@@ -323,7 +325,7 @@ _APPLIED = {
     UNION ALL SELECT 'updated item', id, 0
     FROM (SELECT id FROM new_items UNION SELECT id FROM proposed)"""))
 def f14_apply_batch(spark, sf):
-    model = apply_batch(_model(spark, sf), v.batch(spark, sf))
+    model = apply_batch(_model(spark, sf), cut(v.batch(spark, sf)))
     value = F.round(F.get("features", F.lit(0)).cast("double"), 4).alias("value")
     out = None
     for side, df in (("user", model.user_factors), ("item", model.item_factors)):
@@ -336,7 +338,7 @@ def f14_apply_batch(spark, sf):
 
 def _after(spark, sf, kind):
     """Factors after owning or removing the returned films."""
-    pairs = v.batch(spark, sf).select("userId", "movieId")
+    pairs = cut(v.batch(spark, sf).select("userId", "movieId"))
     model = apply_batch(_model(spark, sf), pairs, kind)
     users = model.user_factors.withColumn("side", F.lit("user"))
     both = users.unionByName(model.item_factors.withColumn("side", F.lit("item")))
