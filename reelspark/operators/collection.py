@@ -104,11 +104,14 @@ def _people(collection: DataFrame, group: str) -> DataFrame:
     return collection.withColumn("name", F.explode(names))
 
 
+def _counted(collection: DataFrame, group: str, by: Sequence[str]) -> DataFrame:
+    return _people(collection, group).groupBy(*by, "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def people_counts(collection: DataFrame, group: str, by: Sequence[str] = ()) -> DataFrame:
     """(name, n): films per director or actor, most first. A name listed twice
     in a film counts twice."""
-    counted = _people(collection, group).groupBy(*by, "name").agg(F.count(F.lit(1)).alias("n"))
-    return counted.orderBy(*by, F.desc("n"), "name")
+    return _counted(collection, group, by).orderBy(*by, F.desc("n"), "name")
 
 
 def top_films_by_person(
@@ -143,6 +146,6 @@ def people_panel(
     collection: DataFrame, group: str, n: int = 5, by: Sequence[str] = ()
 ) -> DataFrame:
     """(name, n, top_films) for the ``n`` people with the most films."""
-    counts = people_counts(collection, group, by)
+    counts = _counted(collection, group, by)
     first = _first(counts, shown(n), by, F.desc("n"), F.asc("name"))
     return first.join(top_films_by_person(collection, group, 5, by), [*by, "name"], "left")

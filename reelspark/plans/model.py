@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelspark.functions.lineage import allow_checkpoints
 from reelspark.functions.ordering import order_key
 from reelspark.functions.ranking import rank_all
 from reelspark.operators import scoring
@@ -77,6 +78,7 @@ def _fit_factors(ratings: DataFrame, params: Params, **extra) -> tuple[DataFrame
     """Alternating least squares with non-negative factors; returns both tables
     under the ids of ``ratings``."""
     spark = ratings.sparkSession
+    allow_checkpoints(spark)
     blocks = min(MOST_BLOCKS, max(10, spark.sparkContext.defaultParallelism))
     settings = {"numUserBlocks": blocks, "numItemBlocks": blocks, **params.als, **extra}
     als = ALS(

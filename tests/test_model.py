@@ -16,6 +16,7 @@ from reelspark.plans.model import (
     recommend,
 )
 from reelspark.plans.tuning import cross_validate_ratings, cross_validate_users, pivot_curves
+from reelspark.recommender import Recommender
 from reelspark.streaming import updates
 
 
@@ -157,6 +158,32 @@ def test_owned_films(model, spark):
     assert 8 in _factors(after.user_factors)
 
 
+def test_recommender(spark, rate, tmp_path):
+    names = {"userId": "u", "movieId": "m", "rating": "r"}
+    rated = rate(_sample(12, 10, 0.7, 15)).withColumnsRenamed(names)
+    r = Recommender("u", "m", "r", update_threshold=30, rank=2, maxIter=2)
+    with pytest.raises(ValueError):
+        r.recommend()
+    r.fit(rated)
+    one = spark.createDataFrame([(3,)], "u bigint")
+    assert r.recommend(one, 2).columns == ["u", "m", "predictedRating", "position"]
+    r.add_ratings(spark.createDataFrame([(50, 1, 4.5)], "u bigint, m bigint, r float"))
+    new = spark.createDataFrame([(50,)], "u bigint")
+    assert r.recommend(new, 3).count() == 3
+    assert r.predict(new).count() == 9
+    r.add_to_collection(spark.createDataFrame([(50, 2)], "u bigint, m bigint"))
+    r.remove_ratings(spark.createDataFrame([(50, 1)], "u bigint, m bigint"))
+    assert [tuple(x)[:3] for x in r.model.ratings.filter("userId = 50").collect()] == [(50, 2, 4.0)]
+    r.save(str(tmp_path / "m"), save_ratings=True)
+    again = Recommender("u", "m", "r").load(spark, str(tmp_path / "m"))
+    assert again.params == r.params
+    assert again.recommend(new, 3).collect() == r.recommend(new, 3).collect()
+    unseen = rate(_sample(30, 10, 1.0, 16)).filter("userId > 20").withColumnsRenamed(names)
+    assert again.evaluate(unseen).count() == 5
+    assert again.evaluate_without_ratings(unseen).count() == 5
+    assert again.fit().model.updated_users.count() == 0
+
+
 def test_stream(model, rate, spark, tmp_path):
     root, source = str(tmp_path / "models"), str(tmp_path / "in")
     updates.start_model(model, root)

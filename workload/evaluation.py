@@ -147,17 +147,69 @@ for _rank in (1, 2):
             F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
-@query("v4_prefix_solve_unknown_films")
+def _created_sql() -> dict[str, str]:
+    """Rank-1 factors of the films the training users have not rated, step by
+    step, then all prefix solves."""
+    steps = {
+        "factors": "SELECT movieId, f1 FROM train_items JOIN films ON id = movieId // 10",
+        "first_seen": "SELECT movieId, MIN(rn) AS step FROM train "
+                      "WHERE movieId NOT IN (SELECT movieId FROM train_items) GROUP BY movieId",
+        "marked": """
+            SELECT t.userId, t.movieId, t.rn, CAST(t.rating AS DOUBLE) AS b, f.f1,
+                   COALESCE(s.step = t.rn, false) AS fresh
+            FROM train t LEFT JOIN factors f USING (movieId) LEFT JOIN first_seen s USING (movieId)""",
+        "made0": "SELECT CAST(NULL AS BIGINT) AS movieId, CAST(NULL AS DOUBLE) AS v WHERE false",
+    }
+    for j in range(1, MOST + 1):
+        solve = f"SELECT *, (c + b * SQRT(b)) / (g + b + {REG}) AS w FROM sums"
+        for _ in range(ITERS - 1):
+            solve = (f"SELECT * REPLACE ((c + b * b * d) / (g + {REG} + b * b * d * d) AS w) "
+                     f"FROM (SELECT userId, movieId, b, g, c, w, w / (w * w + {REG}) AS d FROM ({solve}))")
+        steps[f"made{j}"] = f"""
+            WITH sums AS (
+                SELECT m.userId, m.movieId, m.b, COALESCE(SUM(r.a * r.a), 0) AS g,
+                       COALESCE(SUM(r.a * r.b), 0) AS c
+                FROM marked m LEFT JOIN (
+                    SELECT userId, rn, b, COALESCE(f1, v) AS a
+                    FROM marked LEFT JOIN made{j - 1} USING (movieId) WHERE rn < {j}
+                ) r ON r.userId = m.userId
+                WHERE m.fresh AND m.rn = {j} GROUP BY ALL)
+            SELECT * FROM made{j - 1} UNION ALL
+            SELECT movieId, CAST(CAST(AVG(CAST(CAST(b * w / (w * w + {REG}) AS FLOAT) AS DOUBLE))
+                                      AS FLOAT) AS DOUBLE) AS v
+            FROM ({solve}) GROUP BY movieId"""
+    last = f"SELECT *, (c + b * SQRT(b)) / (g + b + {REG}) AS w FROM whole"
+    for _ in range(ITERS):
+        last = (f"SELECT * REPLACE ((c + b * b * d) / (g + {REG} + b * b * d * d) AS w) "
+                f"FROM (SELECT userId, rn, b, g, c, fresh, gi, ci, w, w / (w * w + {REG}) AS d FROM ({last}))")
+    steps["whole"] = f"""
+        SELECT userId, rn, b, fresh, SUM(a * a) OVER w AS gi, SUM(a * b) OVER w AS ci,
+               COALESCE(SUM(a * a) OVER e, 0) AS g, COALESCE(SUM(a * b) OVER e, 0) AS c
+        FROM (SELECT userId, rn, b, fresh, COALESCE(f1, v) AS a
+              FROM marked LEFT JOIN made{MOST} USING (movieId))
+        WINDOW w AS (PARTITION BY userId ORDER BY rn),
+               e AS (PARTITION BY userId ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+    steps["solved"] = f"""
+        SELECT CAST(rn AS INTEGER) AS j, userId,
+               CASE WHEN fresh THEN w ELSE ci / (gi + {REG}) END AS w FROM ({last})"""
+    return steps
+
+
+@query("v4_prefix_solve_unknown_films", v.with_views(
+    ["fine_ratings", "test_users", "films"],
+    {**_unseen("fine_ratings", _TRAINERS), **_created_sql()},
+    "SELECT j, userId, ROUND(CAST(CAST(w AS FLOAT) AS DOUBLE), 4) AS value FROM solved"))
 def v4_prefix_solve_unknown_films(spark, sf):
-    """Films seen by test users only get their factors on the way."""
+    """Films the training users have not rated get their factors on the way."""
     (kept, _), items = _fine(spark, sf)
+    items = cut(items)
     train = cut(pr.split_profiles(kept, items, MOST)[0])
-    parts = v.film_factors(spark, sf, 2).select(F.col("id").alias("part"), "features")
+    parts = v.film_factors(spark, sf, 1).select(F.col("id").alias("part"), "features")
     films = items.withColumn("part", F.floor(F.col("movieId") / 10))
     factors = films.join(parts, "part").select(F.col("movieId").alias("id"), "features")
-    solved = prefix_solve(train, factors, MOST, 2, ITERS, REG)
-    return solved.select("j", "userId", F.posexplode("features").alias("pos", "x")).select(
-        "j", "userId", "pos", F.round(F.col("x").cast("double"), 5).alias("value"))
+    solved = prefix_solve(train, factors, MOST, 1, ITERS, REG)
+    value = F.round(F.get("features", F.lit(0)).cast("double"), 4)
+    return solved.select("j", "userId", value.alias("value"))
 
 
 def curve_sql(rank: int) -> dict[str, str]:

@@ -11,7 +11,7 @@ from reelspark.operators import ratings as ra
 from reelspark.plans.incremental import apply_batch
 from reelspark.plans.model import Model, Params, fit, fit_implicit, implicit_labels, no_ids, recommend
 from workload import views as v
-from workload.registry import flat, query, r6
+from workload.registry import flat, query
 
 ITERS, REG = 3, 0.1
 
@@ -96,14 +96,18 @@ _UPSERTED = """
     FROM base b FULL JOIN batch n ON b.userId = n.userId AND b.movieId = n.movieId"""
 
 
+_OWNED = _UPSERTED.replace(
+    "COALESCE(n.rating, b.rating)",
+    "CAST(CASE WHEN n.userId IS NOT NULL THEN 4.0 ELSE b.rating END AS FLOAT)")
+_REMOVED = "SELECT *, true AS full_train FROM base ANTI JOIN batch USING (userId, movieId)"
+
+
 @query("f5_upsert_ratings", v.with_views(["base", "batch"], {}, _UPSERTED))
 def f5_upsert_ratings(spark, sf):
     return ra.upsert_ratings(v.base(spark, sf), v.batch(spark, sf))
 
 
-@query("f6_add_to_collection", v.with_views(["base", "batch"], {}, _UPSERTED.replace(
-    "COALESCE(n.rating, b.rating)",
-    "CAST(CASE WHEN n.userId IS NOT NULL THEN 4.0 ELSE b.rating END AS FLOAT)")))
+@query("f6_add_to_collection", v.with_views(["base", "batch"], {}, _OWNED))
 def f6_add_to_collection(spark, sf):
     return ra.add_to_collection(v.base(spark, sf), v.batch(spark, sf).select("userId", "movieId"))
 
@@ -291,34 +295,36 @@ def _model(spark, sf) -> Model:
     return Model(params, users, items, ratings, no_ids(users), no_ids(items))
 
 
-_APPLIED = {
-    "upserted": _UPSERTED,
-    "known_items": _KNOWN_FILMS,
-    "known_users": _KNOWN_USERS,
-    "user_rows": _touched_sql("userId"),
-    "item_rows": _touched_sql("movieId"),
-    "urows": _rows_sql("user_rows", "known_items", "movieId"),
-    **mixed_solve_steps("u", "urows", "userId"),
-    "new_users": "SELECT userId AS id, CAST(CAST(w AS FLOAT) AS DOUBLE) AS f1, 0 AS f2 FROM u_done",
-    "proposed": """
-        SELECT movieId AS id, CAST(CAST(AVG(CAST(CAST(b * d AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS f1
-        FROM urows JOIN u_done USING (userId) WHERE a1 IS NULL GROUP BY movieId""",
-    "users_now": """
-        SELECT id, f1, f2 FROM new_users UNION ALL
-        SELECT id, f1, f2 FROM known_users WHERE id NOT IN (SELECT id FROM new_users)""",
-    "items_now": """
-        SELECT id, f1 FROM proposed UNION ALL
-        SELECT id, f1 FROM known_items WHERE id NOT IN (SELECT id FROM proposed)""",
-    "irows": _rows_sql("item_rows", "users_now", "userId"),
-    **mixed_solve_steps("m", "irows", "movieId"),
-    "new_items": "SELECT movieId AS id, CAST(CAST(w AS FLOAT) AS DOUBLE) AS f1 FROM m_done",
-    "items_then": """
-        SELECT id, f1 FROM new_items UNION ALL
-        SELECT id, f1 FROM items_now WHERE id NOT IN (SELECT id FROM new_items)""",
-}
+def _applied(changed: str) -> dict[str, str]:
+    """The whole update at rank 1, with ``changed`` as the ratings after it."""
+    return {
+        "upserted": changed,
+        "known_items": _KNOWN_FILMS,
+        "known_users": _KNOWN_USERS,
+        "user_rows": _touched_sql("userId"),
+        "item_rows": _touched_sql("movieId"),
+        "urows": _rows_sql("user_rows", "known_items", "movieId"),
+        **mixed_solve_steps("u", "urows", "userId"),
+        "new_users": "SELECT userId AS id, CAST(CAST(w AS FLOAT) AS DOUBLE) AS f1, 0 AS f2 FROM u_done",
+        "proposed": """
+            SELECT movieId AS id, CAST(CAST(AVG(CAST(CAST(b * d AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS f1
+            FROM urows JOIN u_done USING (userId) WHERE a1 IS NULL GROUP BY movieId""",
+        "users_now": """
+            SELECT id, f1, f2 FROM new_users UNION ALL
+            SELECT id, f1, f2 FROM known_users WHERE id NOT IN (SELECT id FROM new_users)""",
+        "items_now": """
+            SELECT id, f1 FROM proposed UNION ALL
+            SELECT id, f1 FROM known_items WHERE id NOT IN (SELECT id FROM proposed)""",
+        "irows": _rows_sql("item_rows", "users_now", "userId"),
+        **mixed_solve_steps("m", "irows", "movieId"),
+        "new_items": "SELECT movieId AS id, CAST(CAST(w AS FLOAT) AS DOUBLE) AS f1 FROM m_done",
+        "items_then": """
+            SELECT id, f1 FROM new_items UNION ALL
+            SELECT id, f1 FROM items_now WHERE id NOT IN (SELECT id FROM new_items)""",
+    }
 
 
-@query("f14_apply_batch", v.with_views(["base", "batch", "films", "customers"], _APPLIED, """
+@query("f14_apply_batch", v.with_views(["base", "batch", "films", "customers"], _applied(_UPSERTED), """
     SELECT 'user' AS side, id, ROUND(f1, 4) AS value FROM users_now
     UNION ALL SELECT 'item', id, ROUND(f1, 4) FROM items_then
     UNION ALL SELECT 'updated user', id, 0 FROM new_users
@@ -342,14 +348,22 @@ def _after(spark, sf, kind):
     model = apply_batch(_model(spark, sf), pairs, kind)
     users = model.user_factors.withColumn("side", F.lit("user"))
     both = users.unionByName(model.item_factors.withColumn("side", F.lit("item")))
-    return both.select("side", "id", r6(F.get("features", F.lit(0)).cast("double")).alias("value"))
+    value = F.round(F.get("features", F.lit(0)).cast("double"), 4)
+    return both.select("side", "id", value.alias("value"))
+
+
+_FACTORS_THEN = """
+    SELECT 'user' AS side, id, ROUND(f1, 4) AS value FROM users_now
+    UNION ALL SELECT 'item', id, ROUND(f1, 4) FROM items_then"""
 
 
-@query("f14_own_batch")
+@query("f14_own_batch", v.with_views(
+    ["base", "batch", "films", "customers"], _applied(_OWNED), _FACTORS_THEN))
 def f14_own_batch(spark, sf):
     return _after(spark, sf, "own")
 
 
-@query("f14_remove_batch")
+@query("f14_remove_batch", v.with_views(
+    ["base", "batch", "films", "customers"], _applied(_REMOVED), _FACTORS_THEN))
 def f14_remove_batch(spark, sf):
     return _after(spark, sf, "remove")
