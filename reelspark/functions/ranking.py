@@ -1,8 +1,9 @@
-"""Row numbers that never sort one large group in one task.
+"""Joins and row numbers that never bring one large group to one task.
 
-``order_key`` values are spread evenly over [0, MODULUS), so slicing that range
-cuts a large group into even slices. Rows are numbered inside each slice and
-the sizes of the slices before it are added.
+Large groups are found by counting and cut into slices. For row numbers the
+slices follow the order: ``order_key`` values are spread evenly over
+[0, MODULUS), so slicing that range cuts a group evenly; rows are numbered
+inside each slice and the sizes of the slices before it are added.
 """
 
 from __future__ import annotations
@@ -18,21 +19,46 @@ MOST_HOT_KEYS = 1_000
 GLOBAL_SLICES = 1_024
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = SLICE_ROWS) -> DataFrame:
-    """The keys that need splitting: (key, hot_rows, hot_slices).
+def hot_of(sizes: DataFrame, key: str, rows: str, min_rows: int = SLICE_ROWS) -> DataFrame:
+    """The keys that need splitting, from their counts: (key, hot_rows, hot_slices).
 
     At most ``MOST_HOT_KEYS`` rows, so broadcasting the result is safe whatever
-    the size of ``df``; a key outside the list is either below ``min_rows`` or
-    holds less than one part in ``MOST_HOT_KEYS`` of the table.
+    the size of the table; a key outside the list is either below ``min_rows``
+    or holds less than one part in ``MOST_HOT_KEYS`` of the table.
     """
     return (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("hot_rows"))
-        .filter(F.col("hot_rows") > min_rows)
-        .orderBy(F.desc("hot_rows"), key)
+        sizes.filter(F.col(rows) > min_rows)
+        .orderBy(F.desc(rows), key)
         .limit(MOST_HOT_KEYS)
-        .withColumn("hot_slices", F.ceil(F.col("hot_rows") / F.lit(min_rows)))
+        .select(key, F.col(rows).alias("hot_rows"),
+                F.ceil(F.col(rows) / F.lit(min_rows)).alias("hot_slices"))
+    )
+
+
+def hot_keys(df: DataFrame, key: str, min_rows: int = SLICE_ROWS) -> DataFrame:
+    """``hot_of`` the rows of ``df``; counts are combined map-side."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return hot_of(sizes, key, "_rows", min_rows)
+
+
+def salted_join(
+    fact: DataFrame, dim: DataFrame, key: str, spread: str, hot: DataFrame, how: str = "inner"
+) -> DataFrame:
+    """``fact`` joined with ``dim``, which has one row per key.
+
+    The rows of a hot key are spread by a hash of the column ``spread`` and meet
+    a copy of the key's row in each place. Adaptive execution splits skewed
+    joins by itself, but not where one side is an aggregate by the same key,
+    which is the case this is for.
+    """
+    slices = F.broadcast(hot.select(key, "hot_slices"))  # at most MOST_HOT_KEYS rows
+    at = F.pmod(F.xxhash64(spread), F.col("hot_slices"))
+    salted = fact.join(slices, key, "left").withColumn("_salt", F.coalesce(at, F.lit(0)))
+    every = F.sequence(F.lit(0).cast("bigint"), F.coalesce("hot_slices", F.lit(1)) - 1)
+    copies = (
+        dim.join(slices, key, "left").withColumn("_salt", F.explode(every)).drop("hot_slices")
     )
+    return salted.join(copies, [key, "_salt"], how).drop("_salt", "hot_slices")
 
 
 def rank_in_group(

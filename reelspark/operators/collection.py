@@ -28,7 +28,7 @@ def build_collection(
     given, the list from ``genome_lists`` (empty where a film has none)."""
     owned = ratings.filter(F.col("rating") == F.lit(value)).select("userId", "movieId")
     if users is not None:
-        owned = owned.join(users.select("userId").distinct(), "userId", "left_semi")
+        owned = owned.join(users.select("userId"), "userId", "left_semi")
     full = owned.join(movies, "movieId", "left")
     if genomes is not None:
         empty = F.array().cast(genomes.schema["genome"].dataType)

@@ -19,32 +19,28 @@ def build_profiles(ratings: DataFrame, seed: int = 9, min_rows: int = SLICE_ROWS
     )
 
 
-def _known(profiles: DataFrame, train_items: DataFrame) -> DataFrame:
-    items = train_items.select("movieId").distinct().withColumn("known", F.lit(True))
-    return profiles.join(items, "movieId", "left").withColumn(
-        "known", F.coalesce("known", F.lit(False))
-    )
-
-
 def filter_obscure(
     profiles: DataFrame, train_items: DataFrame, most: int = 20
 ) -> tuple[DataFrame, DataFrame]:
     """(profiles kept, ids of the users dropped).
 
     A user is dropped when too much of the profile is films the model was not
-    trained on.
+    trained on. ``train_items`` is a table of movieId; both this and
+    ``split_profiles`` only test membership in it.
     """
-    size, unknown = F.col("profile_size"), F.col("unknown")
+    size, unknown = F.col("profile_size"), F.col("profile_size") - F.coalesce("known", F.lit(0))
     too_many = F.when(size >= 40, unknown >= size - F.lit(5 * most / 4)).otherwise(
         unknown >= F.floor(size * 3 / 8)
     )
-    users = (
-        _known(profiles, train_items)
+    known = (
+        profiles.join(train_items.select("movieId"), "movieId", "left_semi")
         .groupBy("userId")
-        .agg(
-            F.first("profile_size").alias("profile_size"),
-            F.count_if(~F.col("known")).alias("unknown"),
-        )
+        .agg(F.count(F.lit(1)).alias("known"))
+    )
+    users = (
+        profiles.filter(F.col("rn") == 1)
+        .select("userId", "profile_size")
+        .join(known, "userId", "left")
         .select("userId", too_many.alias("obscure"))
     )
     dropped = users.filter("obscure").select("userId")
@@ -58,11 +54,11 @@ def split_profiles(
     """(train, validation): the first half of a profile, at most ``most`` rows,
     and the known films among the rest."""
     train_size = F.least(F.ceil(F.col("profile_size") / 2), F.lit(most))
-    train = profiles.filter(F.col("rn") <= train_size)
-    items = train_items.select("movieId").distinct()
-    rest = profiles.filter(F.col("rn") > train_size).join(items, "movieId", "left_semi")
     columns = ["userId", "movieId", "rating", "rn", "profile_size"]
-    return train.select(*columns), rest.select(*columns)
+    train = profiles.filter(F.col("rn") <= train_size)
+    rest = profiles.filter(F.col("rn") > train_size)
+    validation = rest.join(train_items.select("movieId"), "movieId", "left_semi")
+    return train.select(*columns), validation.select(*columns)
 
 
 def user_folds(ratings: DataFrame, folds: int = 3, seed: int = 9) -> DataFrame:

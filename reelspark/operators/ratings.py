@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.functions.ranking import SLICE_ROWS, hot_of, salted_join
 from reelspark.operators.catalogue import override_rows
 
 KEY = ["userId", "movieId"]
@@ -49,30 +50,31 @@ def remove_ratings(ratings: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def touched_rows(ratings: DataFrame, batch: DataFrame) -> DataFrame:
-    """The ratings that share a user or a film with the batch, in one pass."""
-    users = batch.select("userId").distinct().withColumn("_user", F.lit(True))
-    films = batch.select("movieId").distinct().withColumn("_film", F.lit(True))
-    marked = ratings.join(users, "userId", "left").join(films, "movieId", "left")
-    return marked.filter(F.coalesce("_user", "_film")).select(*ratings.columns)
-
-
-def _touched(ratings: DataFrame, batch: DataFrame, key: str, threshold: int) -> DataFrame:
-    rows = ratings.join(batch.select(key).distinct(), key, "left_semi")
-    small = (
-        rows.groupBy(key)
-        .agg(F.count("full_train").alias("trained"))  # nulls are rows not yet trained on
-        .filter(F.col("trained") <= threshold)
-        .select(key)
+    """The ratings that share a user or a film with the batch."""
+    of_users = ratings.join(batch.select("userId"), "userId", "left_semi")
+    others = ratings.join(batch.select("userId"), "userId", "left_anti")
+    return of_users.unionByName(others.join(batch.select("movieId"), "movieId", "left_semi"))
+
+
+def _touched(
+    ratings: DataFrame, batch: DataFrame, key: str, other: str, threshold: int, min_rows: int
+) -> DataFrame:
+    rows = ratings.join(batch.select(key), key, "left_semi")
+    sizes = rows.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count("full_train").alias("_trained"),  # nulls are rows not yet trained on
     )
-    return rows.join(small, key, "left_semi").select(*KEY, "rating")
+    small = sizes.filter(F.col("_trained") <= threshold).select(key)
+    hot = hot_of(sizes, key, "_rows", min_rows)
+    return salted_join(rows, small, key, other, hot, "left_semi").select(*KEY, "rating")
 
 
 def select_for_update(
-    ratings: DataFrame, batch: DataFrame, threshold: int = 20
+    ratings: DataFrame, batch: DataFrame, threshold: int = 20, min_rows: int = SLICE_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of the users, rows of the films) that the batch touches and whose
     trained profile has at most ``threshold`` rows."""
     return (
-        _touched(ratings, batch, "userId", threshold),
-        _touched(ratings, batch, "movieId", threshold),
+        _touched(ratings, batch, "userId", "movieId", threshold, min_rows),
+        _touched(ratings, batch, "movieId", "userId", threshold, min_rows),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.ordering import order_key
-from reelspark.functions.ranking import rank_all
+from reelspark.functions.ranking import SLICE_ROWS, hot_of, rank_all, salted_join
 
 PERCENTS = list(range(0, 100, 5))
 
@@ -23,15 +23,22 @@ def profile_sizes(ratings: DataFrame, key: str, name: str = "n") -> DataFrame:
     return ratings.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
-def with_profile_sizes(ratings: DataFrame) -> DataFrame:
+def _with_film_sizes(ratings: DataFrame, name: str, min_rows: int) -> DataFrame:
+    films = profile_sizes(ratings, "movieId", name)
+    hot = hot_of(films, "movieId", name, min_rows)
+    return salted_join(ratings, films, "movieId", "userId", hot)
+
+
+def with_profile_sizes(ratings: DataFrame, min_rows: int = SLICE_ROWS) -> DataFrame:
     """Every rating with the number of ratings of its user and of its film.
 
-    Counts are combined map-side and joined back; a window would sort all
-    ratings of a popular film in one task, where a join on it can be split.
+    Counts are combined map-side and joined back, the rows of a popular film
+    over several tasks; a window would sort them all in one.
     """
-    films = profile_sizes(ratings, "movieId", "num_ratings_movie")
+    sized = _with_film_sizes(ratings, "num_ratings_movie", min_rows)
     users = profile_sizes(ratings, "userId", "num_ratings_user")
-    return ratings.join(films, "movieId").join(users, "userId")
+    hot = hot_of(users, "userId", "num_ratings_user", min_rows)
+    return salted_join(sized, users, "userId", "movieId", hot)
 
 
 def describe(values: DataFrame, col: str = "n") -> DataFrame:
@@ -117,11 +124,10 @@ def histogram(
     return edges.join(F.broadcast(counted), "bin", "left").fillna(0, ["n"])  # ``bins`` rows
 
 
-def popularity_by_user(ratings: DataFrame) -> DataFrame:
+def popularity_by_user(ratings: DataFrame, min_rows: int = SLICE_ROWS) -> DataFrame:
     """Per user: own number of ratings, mean and sample deviation of the number
     of ratings of the films they rated (null with one film)."""
-    films = profile_sizes(ratings, "movieId", "_n")
-    return ratings.join(films, "movieId").groupBy("userId").agg(
+    return _with_film_sizes(ratings, "_n", min_rows).groupBy("userId").agg(
         F.count(F.lit(1)).cast("double").alias("num_ratings_user_mean"),
         F.avg("_n").alias("num_ratings_movie_mean"),
         F.stddev_samp("_n").alias("num_ratings_movie_std"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions.ordering import MODULUS, order_key
-from reelspark.functions.ranking import hot_keys, rank_all, rank_in_group
+from reelspark.functions.ranking import hot_keys, rank_all, rank_in_group, salted_join
 
 
 def _key(seed, first, second=None):
@@ -49,6 +49,32 @@ def test_a_large_group_is_spread_over_slices(skewed):
     assert slices.agg(F.max("count")).first()[0] < 40
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("min_rows", [10, 100_000])
+def test_salted_join(spark, skewed, how, min_rows):
+    fact = skewed.select("userId", "movieId")
+    dim = spark.createDataFrame([(u, f"name {u}") for u in range(1, 30)], "userId bigint, name string")
+    hot = hot_keys(fact, "userId", min_rows)
+    got = salted_join(fact, dim, "userId", "movieId", hot, how)
+    want = fact.join(dim, "userId", how)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_no_task_gets_a_whole_hot_key(spark, skewed):
+    """After salting, the rows of the large user lie in several partitions."""
+    fact = skewed.select("userId", "movieId")
+    dim = fact.select("userId").distinct()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = salted_join(fact, dim, "userId", "movieId", hot_keys(fact, "userId", 10))
+        at = joined.filter("userId = 1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(at) == 4 and max(r["count"] for r in at) < 200
+
+
 def test_rank_all(spark):
     ids = spark.range(5000).withColumn("key", order_key(3, F.col("id")))
     rows = sorted((r.key, r.id, r.rn) for r in rank_all(ids, "key", "id").collect())

@@ -1,3 +1,5 @@
+import pytest
+
 from reelspark.operators import factors as fa
 from reelspark.operators import ratings as ra
 
@@ -40,17 +42,24 @@ def test_remove(spark, rate):
     assert _rows(ra.remove_ratings(old, pairs)) == [(1, 3, 3.0), (2, 2, 3.0)]
 
 
-def test_selection_counts_trained_rows_only(rate):
+@pytest.mark.parametrize("min_rows", [5, 100_000])
+def test_selection_counts_trained_rows_only(rate, min_rows):
     rows = [(1, m, 3.0, True) for m in range(20)]
     rows += [(2, m, 3.0, True) for m in range(21)]
     rows += [(3, m, 3.0, None) for m in range(25)]
     batch = rate([(u, 0, 3.0) for u in (1, 2, 3)])
-    users, films = ra.select_for_update(rate(rows, True), batch, 20)
+    users, films = ra.select_for_update(rate(rows, True), batch, 20, min_rows)
     assert {r.userId for r in users.collect()} == {1, 3}
     assert users.count() == 45
     assert {r.movieId for r in films.collect()} == {0}
 
 
+def test_touched_rows(rate):
+    rated = rate([(1, 1, 1.0), (1, 2, 1.0), (2, 2, 1.0), (3, 3, 1.0)])
+    batch = rate([(1, 3, 5.0), (1, 1, 5.0)])
+    assert _rows(ra.touched_rows(rated, batch).select("userId", "movieId")) == [(1, 1), (1, 2), (3, 3)]
+
+
 def test_average(factors, spark):
     proposed = spark.createDataFrame(
         [(7, [1.0, 3.0]), (7, [3.0, 5.0]), (8, [1.0, 1.0])], "id bigint, features array<float>")

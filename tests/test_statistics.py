@@ -14,9 +14,10 @@ def test_totals(ratings):
     assert tuple(st.totals(ratings).first()) == (5, 3, 4)
 
 
-def test_sizes(ratings):
+@pytest.mark.parametrize("min_rows", [1, 100_000])
+def test_sizes(ratings, min_rows):
     got = {(r.userId, r.movieId): (r.num_ratings_user, r.num_ratings_movie)
-           for r in st.with_profile_sizes(ratings).collect()}
+           for r in st.with_profile_sizes(ratings, min_rows).collect()}
     assert got == {(1, 1): (3, 2), (1, 2): (3, 1), (1, 3): (3, 1), (2, 1): (1, 2), (3, 4): (1, 1)}
 
 
