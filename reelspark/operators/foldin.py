@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions.grams import solve_prefixes, solve_rows, solve_stats, stats_of_rows
@@ -11,6 +11,8 @@ from reelspark.functions.ranking import SLICE_ROWS, hot_keys
 from reelspark.functions.vectors import scale
 from reelspark.operators.factors import average_factors
 
+SOLVED = "id bigint, features array<float>, direction array<double>"
+
 
 def solve_side(
     rows: DataFrame,
@@ -32,49 +34,49 @@ def solve_side(
     vectors added; pass None where the rows per entity are known to be few.
     """
     known = factors.select(F.col("id").alias(other), "features")
-    joined = rows.join(known, other, "left")
-    hot = None if min_rows is None else hot_keys(rows, entity, min_rows)
-    return _solve_joined(joined, entity, other, rank, iters, reg, hot)
+    if min_rows is None:
+        return _solve_whole(rows.join(known, other, "left"), entity, rank, iters, reg)
+    # A bounded number of rows, see hot_keys. The rows are parted before they
+    # are joined, so each is joined once.
+    hot = F.broadcast(hot_keys(rows, entity, min_rows).select(entity, "hot_slices"))
+    usual = rows.join(hot, entity, "left_anti").join(known, other, "left")
+    large = rows.join(hot, entity).join(known, other, "left")
+    return _solve_whole(usual, entity, rank, iters, reg).unionByName(
+        _solve_sliced(large, entity, other, rank, iters, reg)
+    )
 
 
-def _solve_joined(
-    joined: DataFrame, entity: str, other: str, rank: int, iters: int, reg: float,
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """``solve_side`` on rows that carry their ``features`` (null if unknown)."""
-    joined = joined.select(
+def _fields(entity: str) -> list[Column]:
+    return [
         F.col(entity).cast("bigint").alias("id"),
-        F.col(other).alias("_other"),
         F.col("rating").cast("double").alias("rating"),
-        "features",
-    )
-    fields = ["id", "rating", "features"]
-    solved = "id bigint, features array<float>, direction array<double>"
+        F.col("features"),
+    ]
+
 
-    def solve_whole(df: DataFrame) -> DataFrame:
-        placed = df.select(*fields).repartition("id").sortWithinPartitions("id")
-        return placed.mapInArrow(solve_rows(rank, iters, reg), solved)
+def _solve_whole(joined: DataFrame, entity: str, rank: int, iters: int, reg: float) -> DataFrame:
+    """Solve rows that carry their ``features`` (null if unknown)."""
+    placed = joined.select(*_fields(entity)).repartition("id").sortWithinPartitions("id")
+    return placed.mapInArrow(solve_rows(rank, iters, reg), SOLVED)
 
-    if hot is None:
-        return solve_whole(joined)
 
-    # A bounded number of rows, see hot_keys.
-    hot = F.broadcast(hot.select(F.col(entity).cast("bigint").alias("id"), "hot_slices"))
-    whole = solve_whole(joined.join(hot, "id", "left_anti"))
+def _solve_sliced(
+    joined: DataFrame, entity: str, other: str, rank: int, iters: int, reg: float
+) -> DataFrame:
+    """The same for entities cut into ``hot_slices``: sum the slices, then solve."""
+    at = F.pmod(F.xxhash64(other), F.col("hot_slices")).alias("_slice")
     pieces = (
-        joined.join(hot, "id")
-        .withColumn("_slice", F.pmod(F.xxhash64("_other"), F.col("hot_slices")))
+        joined.select(*_fields(entity), at)
         .repartition("id", "_slice")
-        .select(*fields)
+        .drop("_slice")
         .sortWithinPartitions("id")
         .mapInArrow(stats_of_rows(rank), "id bigint, stats array<double>")
     )
-    summed = (
+    return (
         pieces.repartition("id")
         .sortWithinPartitions("id")
-        .mapInArrow(solve_stats(rank, iters, reg), solved)
+        .mapInArrow(solve_stats(rank, iters, reg), SOLVED)
     )
-    return whole.unionByName(summed)
 
 
 def proposed_factors(
@@ -158,7 +160,7 @@ def create_missing(
             rows = rows.join(made, "movieId", "left").withColumn(
                 "features", F.coalesce("features", "_made")
             )
-        solved = _solve_joined(rows, "userId", "movieId", rank, iters, reg)
+        solved = _solve_whole(rows, "userId", rank, iters, reg)
         proposed = _proposals(here, solved, "userId", "movieId", rank, iters)
         new = cut(average_factors(proposed, rank).withColumn("step", F.lit(step)))
         created = new if created is None else created.unionByName(new)
