@@ -8,3 +8,11 @@ Sub-packages:
 ``plans``      compositions: fitting, online updates, evaluation, tuning
 ``streaming``  driving the online update from a micro-batch sink
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need numpy and
+# pyarrow but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

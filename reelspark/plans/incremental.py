@@ -42,7 +42,7 @@ def apply_batch(model: Model, batch: DataFrame, kind: str = "rate") -> Model:
     p = model.params
     ratings = _changed(model, batch, kind)
     touched = cut(touched_rows(ratings, batch))
-    user_rows, item_rows = select_for_update(touched, batch, p.threshold)
+    user_rows, item_rows = map(cut, select_for_update(touched, batch, p.threshold))
 
     solved = cut(
         solve_side(user_rows, model.item_factors, "userId", "movieId", p.rank, p.iters, p.reg)

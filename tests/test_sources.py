@@ -113,3 +113,26 @@ def test_least_squares(spark):
     assert predict_total(fit, cases).first().total == pytest.approx(4)
     line = fit_line(spark.createDataFrame([(1, 3.0), (2, 5.0)], "x int, y double"), "y", "x").first()
     assert (line.slope, line.intercept) == pytest.approx((2, 1))
+
+
+def test_tasks_do_not_need_the_package(tmp_path):
+    """Python workers started elsewhere run the kernels without importing them."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "job.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "2").getOrCreate())
+from reelspark.operators.foldin import fold_in_users
+rows = spark.createDataFrame([(1, 1, 4.0), (1, 2, 2.0)], "userId bigint, movieId bigint, rating float")
+items = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id bigint, features array<float>")
+print(round(fold_in_users(rows, items, 1, 0, 0.1)[0].first().features[0], 4))
+""")
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True,
+                          text=True, timeout=300)
+    assert done.stdout.strip().endswith("1.5686"), done.stderr[-2000:]
