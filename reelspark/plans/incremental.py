@@ -14,16 +14,16 @@ from reelspark.operators.ratings import (
     touched_rows,
     upsert_ratings,
 )
-from reelspark.plans.model import Model
+from reelspark.plans.model import Model, Params
 
 
-def _changed(model: Model, batch: DataFrame, kind: str) -> DataFrame:
+def _changed(ratings: DataFrame, batch: DataFrame, kind: str, params: Params) -> DataFrame:
     if kind == "rate":
-        return upsert_ratings(model.ratings, batch)
+        return upsert_ratings(ratings, batch)
     if kind == "own":
-        return add_to_collection(model.ratings, batch, model.params.ownership)
+        return add_to_collection(ratings, batch, params.ownership)
     if kind == "remove":
-        return remove_ratings(model.ratings, batch)
+        return remove_ratings(ratings, batch)
     raise ValueError(f"unknown kind of batch: {kind}")
 
 
@@ -34,14 +34,16 @@ def apply_batch(model: Model, batch: DataFrame, kind: str = "rate") -> Model:
     (userId, movieId). Users are solved against the current films; films without
     factors get the mean of what their users propose; then films are solved
     against the updated users. A user left without ratings keeps the old
-    factors. The ratings table is read once; only its rows that share a user or
-    film with the batch, and the factors solved from them, are written to the
+    factors. From the ratings table only the rows that share a user or film with
+    the batch are taken; they and the factors solved from them are written to the
     shared folder. ``save_model`` writes ratings and factors, so the next batch
     starts without lineage.
     """
     p = model.params
-    ratings = _changed(model, batch, kind)
-    touched = cut(touched_rows(ratings, batch))
+    # Every row the batch changes shares a user with it, so the change can be
+    # made on the touched rows alone.
+    touched = cut(touched_rows(model.ratings, batch))
+    touched = cut(_changed(touched, batch, kind, p))
     user_rows, item_rows = map(cut, select_for_update(touched, batch, p.threshold))
 
     solved = cut(
@@ -59,7 +61,7 @@ def apply_batch(model: Model, batch: DataFrame, kind: str = "rate") -> Model:
 
     changed_items = new_items.select("id").union(solved_items.select("id"))
     return model.with_(
-        ratings=ratings,
+        ratings=_changed(model.ratings, batch, kind, p),
         user_factors=users,
         item_factors=items,
         updated_users=model.updated_users.union(solved.select("id")).distinct(),

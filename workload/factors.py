@@ -36,12 +36,12 @@ _FIT = """
 
 @query("f1_fit", v.with_views(["ratings"], {}, _FIT))
 def f1_fit(spark, sf):
-    return _summary(fit(v.ratings(spark, sf), Params(rank=10, iters=5)))
+    return _summary(fit(cut(v.ratings(spark, sf)), Params(rank=10, iters=5)))
 
 
 @query("f1_fit_recommend")
 def f1_fit_recommend(spark, sf):
-    return recommend(fit(v.ratings(spark, sf), Params(rank=10, iters=5)), n=20)
+    return recommend(fit(cut(v.ratings(spark, sf)), Params(rank=10, iters=5)), n=20)
 
 
 @query("f2_implicit_labels", v.with_views(["ratings"], {}, """
@@ -52,7 +52,7 @@ def f2_implicit_labels(spark, sf):
 
 @query("f2_fit_implicit", v.with_views(["ratings"], {}, _FIT))
 def f2_fit_implicit(spark, sf):
-    return _summary(fit_implicit(v.ratings(spark, sf), Params(rank=10, iters=5)))
+    return _summary(fit_implicit(cut(v.ratings(spark, sf)), Params(rank=10, iters=5)))
 
 
 _SCORED = {
