@@ -79,7 +79,8 @@ def f3_predict_unseen(spark, sf):
 
 
 @query("f4_recommend", v.with_views(["ratings", "first_half", "second_half"], _SCORED, """
-    SELECT userId, movieId, ROUND(CAST(predictedRating AS DOUBLE), 4) AS predictedRating, position
+    SELECT userId, movieId, ROUND(CAST(predictedRating AS DOUBLE), 4) AS predictedRating,
+           CAST(position AS INTEGER) AS position
     FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY userId
                                        ORDER BY predictedRating DESC, movieId) AS position
           FROM scored) WHERE position <= 20"""))
@@ -187,7 +188,7 @@ def _rows_sql(table: str, factors: str, key: str, where: str = "") -> str:
 
 def _flat_sql(source: str, entity: str, rank: int) -> str:
     return " UNION ALL ".join(
-        f"SELECT {entity} AS id, {i} AS pos, ROUND(CAST(CAST(w{i} AS FLOAT) AS DOUBLE), 5) AS value "
+        f"SELECT {entity} AS id, CAST({i} AS BIGINT) AS pos, ROUND(CAST(CAST(w{i} AS FLOAT) AS DOUBLE), 5) AS value "
         f"FROM {source}" for i in range(1, rank + 1))
 
 
@@ -222,7 +223,7 @@ _KNOWN_USERS = f"SELECT * FROM customers WHERE c_mktsegment <> '{v.TEST_SEGMENT}
     "known": _KNOWN_FILMS,
     "rated": _rows_sql("ratings", "known", "movieId"),
     **mixed_solve_steps("u", "rated", "userId"),
-}, "SELECT userId AS id, 1 AS pos, ROUND(CAST(CAST(w AS FLOAT) AS DOUBLE), 5) AS value FROM u_done"))
+}, "SELECT userId AS id, CAST(1 AS BIGINT) AS pos, ROUND(CAST(CAST(w AS FLOAT) AS DOUBLE), 5) AS value FROM u_done"))
 def f9_fold_in_users_mixed(spark, sf):
     items = v.known_film_factors(spark, sf, 1)
     return _flat5(foldin.fold_in_users(v.ratings(spark, sf), items, 1, ITERS, REG)[0])
@@ -233,7 +234,7 @@ def f9_fold_in_users_mixed(spark, sf):
     "rated": _rows_sql("ratings", "known", "movieId"),
     **mixed_solve_steps("u", "rated", "userId"),
 }, """
-    SELECT movieId AS id, 1 AS pos, ROUND(CAST(CAST(AVG(CAST(CAST(b * d AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) AS value
+    SELECT movieId AS id, CAST(1 AS BIGINT) AS pos, ROUND(CAST(CAST(AVG(CAST(CAST(b * d AS FLOAT) AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) AS value
     FROM rated JOIN u_done USING (userId) WHERE a1 IS NULL GROUP BY movieId"""))
 def f9_proposed_factors(spark, sf):
     items = v.known_film_factors(spark, sf, 1)
@@ -270,7 +271,7 @@ def f11_merge_factors(spark, sf):
     "known": _KNOWN_USERS,
     "rated": _rows_sql("ratings", "known", "userId"),
     **mixed_solve_steps("m", "rated", "movieId"),
-}, "SELECT movieId AS id, 1 AS pos, ROUND(CAST(CAST(w AS FLOAT) AS DOUBLE), 5) AS value FROM m_done"))
+}, "SELECT movieId AS id, CAST(1 AS BIGINT) AS pos, ROUND(CAST(CAST(w AS FLOAT) AS DOUBLE), 5) AS value FROM m_done"))
 def f12_fold_in_items_mixed(spark, sf):
     users = v.known_customer_factors(spark, sf, 1)
     return _flat5(foldin.fold_in_items(v.ratings(spark, sf), users, 1, ITERS, REG))
