@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.grams import solve_prefixes, solve_rows, solve_stats, stats_of_rows
 from reelspark.functions.lineage import cut
-from reelspark.functions.ranking import SLICE_ROWS, hot_keys
+from reelspark.functions.ranking import SLICE_ROWS, hot_keys, salted_join
 from reelspark.functions.vectors import scale
 from reelspark.operators.factors import average_factors
 
@@ -38,9 +38,13 @@ def solve_side(
         return _solve_whole(rows.join(known, other, "left"), entity, rank, iters, reg)
     # A bounded number of rows, see hot_keys. The rows are parted before they
     # are joined, so each is joined once.
-    hot = F.broadcast(hot_keys(rows, entity, min_rows).select(entity, "hot_slices"))
-    usual = rows.join(hot, entity, "left_anti").join(known, other, "left")
-    large = rows.join(hot, entity).join(known, other, "left")
+    hot = hot_keys(rows, entity, min_rows).select(entity, F.col("hot_slices").alias("_slices"))
+    hot = F.broadcast(hot)
+    hot_others = hot_keys(rows, other, min_rows)
+    usual = salted_join(
+        rows.join(hot, entity, "left_anti"), known, other, entity, hot_others, "left"
+    )
+    large = salted_join(rows.join(hot, entity), known, other, entity, hot_others, "left")
     return _solve_whole(usual, entity, rank, iters, reg).unionByName(
         _solve_sliced(large, entity, other, rank, iters, reg)
     )
@@ -63,8 +67,8 @@ def _solve_whole(joined: DataFrame, entity: str, rank: int, iters: int, reg: flo
 def _solve_sliced(
     joined: DataFrame, entity: str, other: str, rank: int, iters: int, reg: float
 ) -> DataFrame:
-    """The same for entities cut into ``hot_slices``: sum the slices, then solve."""
-    at = F.pmod(F.xxhash64(other), F.col("hot_slices")).alias("_slice")
+    """The same for entities cut into ``_slices``: sum the slices, then solve."""
+    at = F.pmod(F.xxhash64(other), F.col("_slices")).alias("_slice")
     pieces = (
         joined.select(*_fields(entity), at)
         .repartition("id", "_slice")
