@@ -5,6 +5,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +72,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = after
     other = label != np.arange(len(nodes))
     return nodes[label[other]], nodes[other]
+
+
+#: Bytes of text that a task handles at a time.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches, column: str, most: int = SLICE_BYTES):
+    """The batches cut into pieces whose texts hold at most ``most`` bytes, or one row."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        row = 0
+        while row < len(ends):
+            done = ends[row - 1] if row else 0
+            stop = max(row + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(row, stop - row)
+            row = stop

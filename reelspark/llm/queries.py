@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from reelspark.llm import simhash
+from reelspark.llm import simhash, substring
 from reelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +26,26 @@ def query(name: str, oracle: str | None = None):
 @query("op1_simhash_near_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"), shingle=4, bits=4)
+
+
+@query("op9_substring_dedup", """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+dup AS (SELECT doc_id, i FROM win JOIN (SELECT s, min(doc_id) AS least FROM win GROUP BY s) USING (s)
+        WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM dup),
+cut AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+         CASE WHEN ps IS NULL THEN ws
+              ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END AS ks
+  FROM w LEFT JOIN cut USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(array_to_string(ks, ' ')) AS kept_sha256
+FROM kept""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, folder, "documents"))
