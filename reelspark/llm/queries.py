@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelspark.llm import simhash, substring, topk
+from reelspark.functions.lineage import scratch
+from reelspark.llm import simhash, substring, topk, warc
 from reelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +65,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), lambda key: key % 50 == 0, k=5)
+
+
+@query("op6_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, body, CAST(strlen(body) AS BIGINT) AS n FROM p),
+g AS (SELECT body, max(page_id) AS newest FROM d WHERE n >= 1000 GROUP BY body)
+SELECT d.page_id, d.n AS payload_bytes, sha1(d.body) AS payload_digest,
+       CASE WHEN g.newest <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.newest <> d.page_id THEN g.newest END AS refers_to
+FROM d LEFT JOIN g ON d.n >= 1000 AND d.body = g.body""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_pages(table(spark, folder, "pages"), path, least=1000)
+    return warc.read_pages(spark, path)
