@@ -89,3 +89,8 @@ def slices(batches, column: str, most: int = SLICE_BYTES):
             stop = max(row + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(row, stop - row)
             row = stop
+
+
+def is_held_out(key: Column, parts: int, held: int) -> Column:
+    """Whether the crc32 of the key as text, modulo ``parts``, is ``held``; true for a null key, so it is never learned from."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == held, F.lit(True))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reelspark.functions.lineage import scratch
-from reelspark.llm import simhash, substring, topk, warc
-from reelspark.llm.common import table
+from reelspark.llm import language, simhash, substring, topk, warc
+from reelspark.llm.common import bounded_sample, is_held_out, table
+
+#: Documents that the language model is learned from at most, about.
+LANGUAGE_ROWS = 20_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +83,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_pages(table(spark, folder, "pages"), path, least=1000)
     return warc.read_pages(spark, path)
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    known = docs.select("doc_id", "text", "lang").filter(
+        F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id"), 5, 0))
+    model = language.fit(bounded_sample(known, "doc_id", LANGUAGE_ROWS))
+    return language.predict(docs, model).select(
+        "doc_id", is_held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
