@@ -94,3 +94,24 @@ def slices(batches, column: str, most: int = SLICE_BYTES):
 def is_held_out(key: Column, parts: int, held: int) -> Column:
     """Whether the crc32 of the key as text, modulo ``parts``, is ``held``; true for a null key, so it is never learned from."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == held, F.lit(True))
+
+
+def labelled_texts(
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, key: str = "doc_id", text: str = "text"
+) -> tuple[list[str], np.ndarray]:
+    """Texts and 0/1 labels to fit a classifier on: about ``rows`` labelled rows and ``chars`` characters at most.
+
+    Rows are chosen by a hash of the key; a text of over a hundredth of
+    ``chars`` is not learned from. The chosen labels, at most about ``rows``,
+    are broadcast.
+    """
+    known = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"))
+    chosen = F.broadcast(bounded_sample(known, "key", rows))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(
+        F.length("text") <= chars // 100)
+    found = cut(texts.join(chosen, "key"))
+    size = found.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > chars:
+        found = found.filter(share(F.col("key"), 1) < F.lit(chars / size))
+    got = found.orderBy("key", "text").toArrow()
+    return got["text"].to_pylist(), got["label"].to_numpy().astype(np.int64)

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions.lineage import scratch
-from reelspark.llm import language, simhash, substring, topk, warc
-from reelspark.llm.common import bounded_sample, is_held_out, table
+from reelspark.llm import language, quality, simhash, substring, topk, toxicity, warc
+from reelspark.llm.common import bounded_sample, is_held_out, labelled_texts, table
 
 #: Documents that the language model is learned from at most, about.
 LANGUAGE_ROWS = 20_000
+#: Labelled documents that the two classifiers are learned from at most, about, and their characters.
+QUALITY_ROWS, TOXIC_ROWS, LEARNED_CHARS = 4_000, 5_000, 20_000_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +95,26 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit(bounded_sample(known, "doc_id", LANGUAGE_ROWS))
     return language.predict(docs, model).select(
         "doc_id", is_held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> quality.Model:
+    labels = table(spark, folder, "labels").filter(~is_held_out(F.col("doc_id"), 4, 2))
+    return quality.train(*labelled_texts(docs, labels, "quality", QUALITY_ROWS, LEARNED_CHARS))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality_model(spark, docs, folder)).select(
+        "doc_id", is_held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").filter(~is_held_out(F.col("doc_id"), 5, 0))
+    model = toxicity.train(*labelled_texts(docs, labels, "toxic", TOXIC_ROWS, LEARNED_CHARS))
+    return toxicity.score(docs, model).select(
+        "doc_id", is_held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
