@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions.lineage import scratch
-from reelspark.llm import language, quality, simhash, substring, topk, toxicity, warc
+from reelspark.llm import decontaminate, language, quality, simhash, substring, topk, toxicity, warc
 from reelspark.llm.common import bounded_sample, is_held_out, labelled_texts, table
 
 #: Documents that the language model is learned from at most, about.
@@ -118,3 +118,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", is_held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
