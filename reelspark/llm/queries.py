@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions.lineage import scratch
-from reelspark.llm import decontaminate, language, quality, simhash, substring, topk, toxicity, warc
+from reelspark.llm import decontaminate, language, packing, quality, simhash, substring, topk, toxicity, warc
 from reelspark.llm.common import bounded_sample, is_held_out, labelled_texts, table
 
 #: Documents that the language model is learned from at most, about.
@@ -123,3 +124,15 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_decontamination")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents packed with the byte-level tokenizer, found where the tokenizers are installed."""
+    return packing.pack(
+        docs, public_tokenizers.path("byte_bpe_50k.json"),
+        ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))
