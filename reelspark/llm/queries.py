@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions.lineage import scratch
-from reelspark.llm import decontaminate, language, packing, quality, simhash, substring, topk, toxicity, warc
+from reelspark.llm import decontaminate, language, packing, quality, simhash, substring, topk, toxicity, warc, wrappers
 from reelspark.llm.common import bounded_sample, is_held_out, labelled_texts, table
 
 #: Documents that the language model is learned from at most, about.
 LANGUAGE_ROWS = 20_000
 #: Labelled documents that the two classifiers are learned from at most, about, and their characters.
-QUALITY_ROWS, TOXIC_ROWS, LEARNED_CHARS = 4_000, 5_000, 20_000_000
+QUALITY_ROWS, TOXIC_ROWS, LEARNED_CHARS = 3_000, 5_000, 16_000_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +136,8 @@ def packed(docs: DataFrame) -> DataFrame:
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"))
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(table(spark, folder, "pages"))
