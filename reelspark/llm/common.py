@@ -115,3 +115,11 @@ def labelled_texts(
         found = found.filter(share(F.col("key"), 1) < F.lit(chars / size))
     got = found.orderBy("key", "text").toArrow()
     return got["text"].to_pylist(), got["label"].to_numpy().astype(np.int64)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

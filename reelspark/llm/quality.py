@@ -177,6 +177,17 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     return Model(mean, spread, weight, float(bias[0]), move, begin)
 
 
+def keep(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with all their columns; no shuffle."""
+
+    def run(batches):
+        for batch in slices(batches, text):
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(model.score(texts) >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) for every row of ``docs``; higher is better.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import cut, slices
+from reelspark.llm.common import cut, fresh, slices
 
 WINDOW, ANCHOR, PERIOD = 13, 7, 7
 #: Cover positions: every residue modulo 7 is a difference of two of them.
@@ -255,6 +255,14 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     under 13 words never change. An empty table gives no rows.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    schema = "key bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
+    done = rows.join(_repeated(rows), "key", "left").select("key", "text", "hashes").mapInArrow(
+        _remove(with_text), schema)
+    return done.withColumnRenamed("key", key)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(key, hashes): the hashes of each document's windows that a smaller one holds."""
     known = rows.filter("key is not null")
     asked = known.mapInArrow(_ask_anchors, "k bigint, doc bigint, known bigint")
     shared = cut(
@@ -267,7 +275,36 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         asked.repartition("k1").sortWithinPartitions("k1", "k2", "doc")
         .mapInArrow(_answer_windows, "doc bigint, h bigint")
     )
-    gone = twice.groupBy(F.col("doc").alias("key")).agg(F.collect_list("h").alias("hashes"))
-    schema = "key bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
-    done = rows.join(gone, "key", "left").select("key", "text", "hashes").mapInArrow(_remove(with_text), schema)
-    return done.withColumnRenamed("key", key)
+    return twice.groupBy(F.col("doc").alias("key")).agg(F.collect_list("h").alias("hashes"))
+
+
+def replace_text(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """``docs`` with repeated windows taken out of ``text``, as ``substring_dedup`` describes.
+
+    All rows and columns stay; a column named ``size``, if there is one, gets
+    the new number of characters of changed texts.
+    """
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    gone = _repeated(rows)
+    number = F.col(key).cast("bigint")
+    own, found = fresh(docs, "key"), fresh(docs, "hashes")
+    gone = gone.select(F.col("key").alias(own), F.col("hashes").alias(found))
+    joined = docs.join(gone, number == F.col(own), "left").drop(own)
+
+    def run(batches):
+        work = _remove(True)
+        for batch in slices(batches, text):
+            part = pa.RecordBatch.from_arrays(
+                [batch.column(key).cast(pa.int64()), batch.column(text), batch.column(found)],
+                names=["key", "text", "hashes"])
+            for done in work([part]):
+                removed = done.column("n_removed").to_numpy() > 0
+                columns = {n: batch.column(n) for n in batch.schema.names if n != found}
+                kept = done.column("kept").cast(columns[text].type)
+                columns[text] = kept
+                if size in columns:
+                    new = pc.utf8_length(kept).cast(columns[size].type)
+                    columns[size] = pc.if_else(pa.array(removed), new, columns[size])
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return joined.mapInArrow(run, docs.schema)
