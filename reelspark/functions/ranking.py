@@ -15,21 +15,23 @@ from pyspark.sql import functions as F
 from reelspark.functions.ordering import MODULUS
 
 SLICE_ROWS = 100_000
-MOST_HOT_KEYS = 1_000
-GLOBAL_SLICES = 1_024
+#: Keys that are listed as hot at most, whatever the session's number of partitions.
+LISTED_KEYS = 10_000
 
 
 def hot_of(sizes: DataFrame, key: str, rows: str, min_rows: int = SLICE_ROWS) -> DataFrame:
     """The keys that need splitting, from their counts: (key, hot_rows, hot_slices).
 
-    At most ``MOST_HOT_KEYS`` rows, so broadcasting the result is safe whatever
-    the size of the table; a key outside the list is either below ``min_rows``
-    or holds less than one part in ``MOST_HOT_KEYS`` of the table.
+    A key is hot if it has more than ``min_rows`` rows and more than its part of
+    the table: one in ``LISTED_KEYS``, or one in four times the shuffle
+    partitions if those are more. So there are fewer hot keys than such parts,
+    which makes the list safe to broadcast, and none is left out.
     """
+    partitions = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(LISTED_KEYS, 4 * partitions)
+    share = sizes.agg(F.coalesce(F.sum(rows), F.lit(0)) / F.lit(parts)).scalar()
     return (
-        sizes.filter(F.col(rows) > min_rows)
-        .orderBy(F.desc(rows), key)
-        .limit(MOST_HOT_KEYS)
+        sizes.filter(F.col(rows) > F.lit(min_rows)).filter(F.col(rows) > share)
         .select(key, F.col(rows).alias("hot_rows"),
                 F.ceil(F.col(rows) / F.lit(min_rows)).alias("hot_slices"))
     )
@@ -51,7 +53,7 @@ def salted_join(
     joins by itself, but not where one side is an aggregate by the same key,
     which is the case this is for.
     """
-    slices = F.broadcast(hot.select(key, "hot_slices"))  # at most MOST_HOT_KEYS rows
+    slices = F.broadcast(hot.select(key, "hot_slices"))  # bounded, see hot_of
     at = F.pmod(F.xxhash64(spread), F.col("hot_slices"))
     salted = fact.join(slices, key, "left").withColumn("_salt", F.coalesce(at, F.lit(0)))
     every = F.sequence(F.lit(0).cast("bigint"), F.coalesce("hot_slices", F.lit(1)) - 1)
@@ -76,7 +78,7 @@ def rank_in_group(
     Groups up to ``min_rows`` are one slice and cost one shuffle. Larger ones
     are spread over several tasks.
     """
-    hot = F.broadcast(hot_keys(df, group, min_rows))  # at most MOST_HOT_KEYS rows
+    hot = F.broadcast(hot_keys(df, group, min_rows))  # bounded, see hot_of
     slice_of = F.floor(F.col(key) * F.coalesce("hot_slices", F.lit(1)) / F.lit(MODULUS))
     sliced = df.join(hot, group, "left").withColumn("_slice", slice_of)
 
@@ -107,10 +109,11 @@ def rank_in_group(
 def rank_all(df: DataFrame, key: str, tie: str, number: str = "rn") -> DataFrame:
     """Add the 1-based position by (``key``, ``tie``) over the whole frame.
 
-    The frame is cut into ``GLOBAL_SLICES`` even slices; only the table of slice
-    sizes (that many rows) passes through one task.
+    The frame is cut into even slices of about ``SLICE_ROWS`` rows; only the
+    table of slice sizes (one row each) passes through one task.
     """
-    slice_of = F.floor(F.col(key) * F.lit(GLOBAL_SLICES) / F.lit(MODULUS))
+    slices = df.agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE_ROWS)) + 8).scalar()
+    slice_of = F.floor(F.col(key) * slices / F.lit(MODULUS))
     sliced = df.withColumn("_slice", slice_of)
     before = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -121,7 +124,7 @@ def rank_all(df: DataFrame, key: str, tie: str, number: str = "rn") -> DataFrame
     local = F.row_number().over(W.partitionBy("_slice").orderBy(key, tie))
     return (
         sliced.withColumn("_local", local)
-        .join(F.broadcast(offsets), "_slice")  # GLOBAL_SLICES rows
+        .join(offsets, "_slice")  # one row per slice; broadcast by Spark if small
         .withColumn(number, (F.col("_local") + F.col("_before")).cast("bigint"))
         .drop("_slice", "_local", "_before")
     )

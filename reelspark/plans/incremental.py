@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
 from reelspark.functions.lineage import cut
 from reelspark.operators.factors import average_factors, merge_factors
 from reelspark.operators.foldin import fold_in_items, proposed_factors, solve_side
 from reelspark.operators.ratings import (
+    KEY,
     add_to_collection,
     remove_ratings,
     select_for_update,
@@ -27,7 +30,18 @@ def _changed(ratings: DataFrame, batch: DataFrame, kind: str, params: Params) ->
     raise ValueError(f"unknown kind of batch: {kind}")
 
 
-def apply_batch(model: Model, batch: DataFrame, kind: str = "rate") -> Model:
+@dataclass(frozen=True)
+class Changes:
+    """What a batch changes: factors (id, features) of the users and films solved
+    again, the batch's ratings as they are afterwards, and the pairs removed."""
+
+    user_factors: DataFrame
+    item_factors: DataFrame
+    ratings: DataFrame
+    removed: DataFrame
+
+
+def changes(model: Model, batch: DataFrame, kind: str = "rate") -> Changes:
     """Change the ratings and re-solve the small profiles the batch touches.
 
     ``kind`` is ``rate`` (userId, movieId, rating), ``own`` or ``remove``
@@ -36,8 +50,7 @@ def apply_batch(model: Model, batch: DataFrame, kind: str = "rate") -> Model:
     against the updated users. A user left without ratings keeps the old
     factors. From the ratings table only the rows that share a user or film with
     the batch are taken; they and the factors solved from them are written to the
-    shared folder. ``save_model`` writes ratings and factors, so the next batch
-    starts without lineage.
+    shared folder.
     """
     p = model.params
     # Every row the batch changes shares a user with it, so the change can be
@@ -54,16 +67,31 @@ def apply_batch(model: Model, batch: DataFrame, kind: str = "rate") -> Model:
     )
     new_items = cut(average_factors(proposed, p.rank))
     users = merge_factors(model.user_factors, solved)
-    items = merge_factors(model.item_factors, new_items)
-
     solved_items = cut(fold_in_items(item_rows, users, p.rank, p.iters, p.reg))
-    items = merge_factors(items, solved_items)
 
-    changed_items = new_items.select("id").union(solved_items.select("id"))
+    pairs = batch.select(*KEY).distinct()
+    kept = touched.join(pairs, KEY, "left_semi")
+    removed = pairs if kind == "remove" else pairs.limit(0)
+    return Changes(solved, cut(merge_factors(new_items, solved_items)), kept, removed)
+
+
+def apply_changes(model: Model, made: Changes) -> Model:
+    """The model with the changes in place of what they replace."""
+    gone = made.ratings.select(*KEY).union(made.removed)
+    ratings = model.ratings.join(gone, KEY, "left_anti").select(*model.ratings.columns)
     return model.with_(
-        ratings=_changed(model.ratings, batch, kind, p),
-        user_factors=users,
-        item_factors=items,
-        updated_users=model.updated_users.union(solved.select("id")).distinct(),
-        updated_items=model.updated_items.union(changed_items).distinct(),
+        # The fit is as old as before, whatever became of the ratings it saw.
+        known_users=model.train_users(),
+        known_items=model.train_items(),
+        ratings=ratings.unionByName(made.ratings.select(*model.ratings.columns)),
+        user_factors=merge_factors(model.user_factors, made.user_factors),
+        item_factors=merge_factors(model.item_factors, made.item_factors),
+        updated_users=model.updated_users.union(made.user_factors.select("id")).distinct(),
+        updated_items=model.updated_items.union(made.item_factors.select("id")).distinct(),
     )
+
+
+def apply_batch(model: Model, batch: DataFrame, kind: str = "rate") -> Model:
+    """The model after a batch, see ``changes``. Its tables are read from the old
+    ones and from the changes, so ``save_model`` starts a long chain anew."""
+    return apply_changes(model, changes(model, batch, kind))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml.recommendation import ALS
@@ -15,13 +16,17 @@ from reelspark.functions.ranking import rank_all
 from reelspark.operators import scoring
 
 LARGEST_INT = 2147483647
-MOST_BLOCKS = 1000
+#: Ratings per block of the solver. The number of blocks decides the first factors,
+#: so it follows the ratings and never the cluster.
+RATINGS_PER_BLOCK, LEAST_BLOCKS = 1_000_000, 10
 
 
 @dataclass(frozen=True)
 class Params:
     """``threshold``: trained profile size beyond which a user or film is not
     solved again online. ``ownership``: the rating owning a film stands for.
+    ``blocks``: blocks of the solver on either side; 0 takes one per million
+    ratings, ten at least. The result depends on it, and on nothing of the cluster.
     ``als``: further settings of ``pyspark.ml.recommendation.ALS``."""
 
     rank: int = 10
@@ -30,6 +35,7 @@ class Params:
     seed: int = 9
     threshold: int = 20
     ownership: float = 4.0
+    blocks: int = 0
     als: dict = field(default_factory=dict)
 
 
@@ -45,9 +51,20 @@ class Model:
     ratings: DataFrame
     updated_users: DataFrame
     updated_items: DataFrame
+    known_users: DataFrame | None = None
+    known_items: DataFrame | None = None
+
+    def train_users(self) -> DataFrame:
+        """(userId) of the users the last full fit has seen: ``known_users`` if it
+        is given (a model loaded without its ratings), else from the ratings."""
+        if self.known_users is not None:
+            return self.known_users
+        return self.ratings.filter("full_train").select("userId").distinct()
 
     def train_items(self) -> DataFrame:
         """(movieId) of the films the last full fit has seen."""
+        if self.known_items is not None:
+            return self.known_items
         return self.ratings.filter("full_train").select("movieId").distinct()
 
     def with_(self, **changes) -> Model:
@@ -59,7 +76,9 @@ def no_ids(like: DataFrame) -> DataFrame:
 
 
 def _dense(ratings: DataFrame, col: str) -> DataFrame:
-    """(col, index): ids numbered from 0, for ids beyond the solver's int range."""
+    """(col, index): ids numbered from 0, for ids beyond the solver's int range.
+
+    The solver's limit stays: at most 2**31 - 1 distinct ids a side."""
     ids = ratings.select(col).distinct().withColumn("_key", order_key(0, F.col(col)))
     return rank_all(ids, "_key", col, "_rn").select(
         col, (F.col("_rn") - 1).cast("int").alias("_index")
@@ -79,7 +98,7 @@ def _fit_factors(ratings: DataFrame, params: Params, **extra) -> tuple[DataFrame
     under the ids of ``ratings``."""
     spark = ratings.sparkSession
     allow_checkpoints(spark)
-    blocks = min(MOST_BLOCKS, max(10, spark.sparkContext.defaultParallelism))
+    blocks = params.blocks or max(LEAST_BLOCKS, math.ceil(ratings.count() / RATINGS_PER_BLOCK))
     settings = {"numUserBlocks": blocks, "numItemBlocks": blocks, **params.als, **extra}
     als = ALS(
         rank=params.rank, maxIter=params.iters, regParam=params.reg, seed=params.seed,
@@ -130,7 +149,8 @@ def recommend(model: Model, users: DataFrame | None = None, n: int = 20) -> Data
     )
 
 
-def predict(model: Model, users: DataFrame | None = None) -> DataFrame:
+def predict(model: Model, users: DataFrame) -> DataFrame:
+    """Every prediction for the unseen films of the given users."""
     return scoring.predict_unseen(
         model.user_factors, model.item_factors, model.ratings, model.params.rank, users
     )

@@ -54,9 +54,9 @@ class Recommender:
         users = None if users is None else self._in(users)
         return self._out(model.recommend(self.model, users, num_recs))
 
-    def predict(self, users: DataFrame | None = None) -> DataFrame:
-        users = None if users is None else self._in(users)
-        return self._out(model.predict(self.model, users))
+    def predict(self, users: DataFrame) -> DataFrame:
+        """Every prediction for the unseen films of the given users."""
+        return self._out(model.predict(self.model, self._in(users)))
 
     def _apply(self, batch: DataFrame, kind: str) -> None:
         self._model = apply_batch(self.model, self._in(batch), kind)
@@ -84,9 +84,12 @@ class Recommender:
         predictions: DataFrame | None = None,
     ) -> None:
         predictions = None if predictions is None else self._in(predictions)
-        self._model = model_store.save_model(self.model, path, refit, save_ratings, predictions)
+        self._model = model_store.save_model(
+            self.model, path, refit, save_ratings, predictions, names=list(self.names))
 
     def load(self, spark: SparkSession, path: str) -> Recommender:
+        """Take over a saved model, its settings and its column names."""
         self._model = model_store.load_model(spark, path)
+        self.names = dict(zip(model_store.load_names(spark, path), model_store.NAMES))
         self.params = self._model.params
         return self

@@ -21,8 +21,13 @@ TAGS = "userId BIGINT, movieId BIGINT, tag STRING, timestamp BIGINT"
 
 def _csv(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
     """Columns are found by their name in the header, so further columns in the
-    file (a timestamp, other ids) are skipped, and their order does not matter."""
-    named = spark.read.csv(path, header=True, inferSchema=False, **options)
+    file (a timestamp, other ids) are skipped, and their order does not matter.
+
+    All files of a folder must have the same header: it is read from one of them
+    and held against every other, and a file that differs fails the query.
+    """
+    header = spark.read.csv(path, header=True, inferSchema=False, **options).schema
+    named = spark.read.schema(header).csv(path, header=True, enforceSchema=False, **options)
     columns = [c.strip().split(" ") for c in schema.split(",")]
     return named.select(*[F.col(n).cast(t).alias(n) for n, t in columns])
 

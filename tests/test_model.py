@@ -63,9 +63,10 @@ def test_implicit(rate):
 
 def test_predictions(spark, factors, rate):
     users, items = factors({1: (1, 2), 5: (0, 1)}), factors({10: (3, 4), 11: (1, 0), 12: (1, 0)})
-    seen = rate([(1, 11, 3.0), (1, 99, 1.0), (7, 10, 1.0)])
+    seen = rate([(1, 11, 3.0), (1, 99, 1.0), (7, 10, 1.0), (1, 11, 2.0)])
+    everyone = spark.createDataFrame([(1,), (5,), (7,)], "userId bigint")
     got = {(r.userId, r.movieId): r.predictedRating
-           for r in scoring.predict_unseen(users, items, seen, 2).collect()}
+           for r in scoring.predict_unseen(users, items, seen, 2, everyone).collect()}
     assert got == {(1, 10): 11.0, (1, 12): 1.0, (5, 10): 4.0, (5, 11): 0.0, (5, 12): 0.0}
     model = Model(Params(rank=2), users, items, seen, no_ids(users), no_ids(items))
     asked = spark.createDataFrame([(5,), (7,), (8,)], "userId bigint")
@@ -74,16 +75,43 @@ def test_predictions(spark, factors, rate):
     assert predict(model, asked).count() == 3
 
 
-def test_recommendations_over_many_blocks(monkeypatch, factors, rate):
-    monkeypatch.setattr(scoring, "USER_BLOCK", 3)
-    monkeypatch.setattr(scoring, "ITEM_BLOCK", 4)
+def test_the_model_does_not_depend_on_the_cluster(spark, rate):
+    rows = rate(_sample(40, 25, 0.5, 21))
+    params = Params(rank=3, iters=3)
+    few = _factors(fit(rows.repartition(2), params).user_factors)
+    shown = spark.sparkContext.defaultParallelism
+    try:
+        type(spark.sparkContext).defaultParallelism = property(lambda _: 64)
+        many = _factors(fit(rows.repartition(2), params).user_factors)
+    finally:
+        type(spark.sparkContext).defaultParallelism = property(lambda c: c._jsc.sc().defaultParallelism())
+    assert spark.sparkContext.defaultParallelism == shown
+    assert {k: list(x) for k, x in few.items()} == {k: list(x) for k, x in many.items()}
+    other = _factors(fit(rows, Params(rank=3, iters=3, blocks=16)).user_factors)
+    assert set(other) == set(few)
+
+
+def test_ratings_without_factors_reach_no_cell(factors, rate):
+    users, items = factors({1: (1, 0), 2: (0, 1)}), factors({1: (1, 1), 2: (2, 2)})
+    rows = [(u, m, 1.0) for u in range(1, 40) for m in range(1, 40)] + [(1, 1, 2.0)] * 50
+    top = scoring.recommend_top(users, items, rate(rows), 2, n=5)
+    assert top.count() == 0
+
+
+def test_ids_that_repeat_are_refused(spark, rate):
+    twice = spark.createDataFrame([(1, [1.0, 0.0])] * 100, "id bigint, features array<float>")
+    with pytest.raises(Exception, match="not unique"):
+        scoring.recommend_top(twice, twice, rate([(5, 5, 1.0)]), 2, n=1, per_block=(2, 2)).collect()
+
+
+def test_recommendations_over_many_blocks(factors, rate):
     rng = np.random.default_rng(3)
     u = {i: rng.integers(0, 3, 2) for i in range(20)}
     v = {i: rng.integers(0, 3, 2) for i in range(30)}
     rows = _sample(20, 30, 0.3, 5)
     seen = {(a, b) for a, b, _ in rows}
     got = {}
-    for r in scoring.recommend_top(factors(u), factors(v), rate(rows), 2, n=5).collect():
+    for r in scoring.recommend_top(factors(u), factors(v), rate(rows), 2, n=5, per_block=(3, 4)).collect():
         got.setdefault(r.userId, {})[r.position] = (r.movieId, r.predictedRating)
     for a, w in u.items():
         best = sorted((-float(w @ x), m) for m, x in v.items() if (a, m) not in seen)[:5]
@@ -175,30 +203,73 @@ def test_recommender(spark, rate, tmp_path):
     r.remove_ratings(spark.createDataFrame([(50, 1)], "u bigint, m bigint"))
     assert [tuple(x)[:3] for x in r.model.ratings.filter("userId = 50").collect()] == [(50, 2, 4.0)]
     r.save(str(tmp_path / "m"), save_ratings=True)
-    again = Recommender("u", "m", "r").load(spark, str(tmp_path / "m"))
+    again = Recommender().load(spark, str(tmp_path / "m"))
     assert again.params == r.params
     assert again.recommend(new, 3).collect() == r.recommend(new, 3).collect()
     unseen = rate(_sample(30, 10, 1.0, 16)).filter("userId > 20").withColumnsRenamed(names)
     assert again.evaluate(unseen).count() == 5
     assert again.evaluate_without_ratings(unseen).count() == 5
+    r.save(str(tmp_path / "bare"))
+    bare = Recommender().load(spark, str(tmp_path / "bare"))
+    for x, y in zip(sorted(bare.evaluate(unseen).collect()), sorted(r.evaluate(unseen).collect()), strict=True):
+        assert x[:2] == y[:2] and tuple(x[2:]) == pytest.approx(tuple(y[2:]))
     assert again.fit().model.updated_users.count() == 0
 
 
+def _same_model(got, want):
+    for one, other in ((got.user_factors, want.user_factors), (got.item_factors, want.item_factors)):
+        one, other = _factors(one), _factors(other)
+        assert set(one) == set(other)
+        assert all(one[k] == pytest.approx(other[k], abs=1e-5) for k in other)
+    assert sorted(map(str, got.ratings.collect())) == sorted(map(str, want.ratings.collect()))
+
+
 def test_stream(model, rate, spark, tmp_path):
     root, source = str(tmp_path / "models"), str(tmp_path / "in")
     updates.start_model(model, root)
     batch = rate([(0, 1, 5.0), (9, 20, 4.0)])
     batch.coalesce(1).write.json(source)
-    stream = spark.readStream.schema(batch.schema).json(source)
-    query = updates.start_updates(stream, root, str(tmp_path / "cp"), availableNow=True)
-    assert query.awaitTermination(120)
-    from reelspark.sources.model_store import load_model
 
-    got = load_model(spark, updates.version_path(root, 0))
+    def drain(checkpoint):
+        stream = spark.readStream.schema(batch.schema).json(source)
+        query = updates.start_updates(stream, root, str(tmp_path / checkpoint), availableNow=True)
+        assert query.awaitTermination(120)
+
+    drain("one")
     want = apply_batch(model, batch)
-    for u, w in _factors(want.user_factors).items():
-        assert _factors(got.user_factors)[u] == pytest.approx(w, abs=1e-5)
-    updates.apply_to_saved(root)(batch, 0)  # a repeated batch does nothing
+    _same_model(updates.load_current(spark, root), want)
+    size = sum(f.stat().st_size for f in (tmp_path / "models" / "version=1" / "ratings").glob("part*"))
+    assert 0 < size < 400  # the batch's rows, not the table
+    drain("one")  # nothing new
+    assert set(updates.versions(spark, root)) == {0, 1}
+
+    # A stream with a new checkpoint counts from 0 again; its batches still count.
+    second = rate([(9, 21, 2.0), (1, 2, 1.0)])
+    updates.apply_to_saved(root, stream="other")(second, 0)
+    updates.apply_to_saved(root, stream="other")(second, 0)  # run again after a failure
+    want = apply_batch(want, second)
+    _same_model(updates.load_current(spark, root), want)
+    assert set(updates.versions(spark, root)) == {0, 1, 2}
+
+    gone = second.select("userId", "movieId")
+    updates.apply_to_saved(root, "remove", stream="removals")(gone, 0)
+    want = apply_batch(want, gone, "remove")
+    _same_model(updates.load_current(spark, root), want)
+    updates.compact(spark, root)
+    _same_model(updates.load_current(spark, root), want)
+
+
+def test_scratch_tables_end_with_their_scope(spark, rate):
+    from pathlib import Path
+
+    from reelspark.functions import lineage
+
+    folder = Path(lineage.shared_dir(spark))
+    before = set(folder.iterdir())
+    with lineage.scratch_scope(spark):
+        assert lineage.cut(rate([(1, 1, 1.0)])).count() == 1
+        assert set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before
 
 
 def test_cross_validation_of_users(rate):

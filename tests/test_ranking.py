@@ -49,6 +49,13 @@ def test_a_large_group_is_spread_over_slices(skewed):
     assert slices.agg(F.max("count")).first()[0] < 40
 
 
+def test_every_hot_key_is_split(spark):
+    rows = spark.range(2_000).crossJoin(spark.range(6).toDF("m")).withColumnRenamed("id", "userId")
+    hot = hot_keys(rows, "userId", 2)
+    assert hot.count() == 2_000
+    assert {r.hot_slices for r in hot.collect()} == {3}
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 @pytest.mark.parametrize("min_rows", [10, 100_000])
 def test_salted_join(spark, skewed, how, min_rows):

@@ -27,6 +27,24 @@ def test_ratings(spark, tmp_path):
     assert _rows(readers.read_ratings(spark, path)) == [(1, 2, 3.5)]
 
 
+@pytest.mark.parametrize("read, one, other", [
+    (readers.read_ratings, "userId,movieId,rating\n1,2,3.0\n", "movieId,userId,rating\n20,10,4.0\n"),
+    (readers.read_links, "movieId,imdbId\n1,0000002\n", "imdbId,movieId\n0000003,4\n"),
+    (readers.read_tags, "userId,movieId,tag,timestamp\n1,2,a,3\n", "movieId,userId,tag,timestamp\n1,2,a,3\n"),
+    (lambda s, p: readers.read_genome(s, p, p + "/tags"), "movieId,tagId,relevance\n1,2,0.5\n",
+     "tagId,movieId,relevance\n1,2,0.5\n"),
+])
+def test_a_file_with_another_header_fails(spark, tmp_path, read, one, other):
+    folder = tmp_path / "in"
+    (folder / "tags").mkdir(parents=True)
+    _write(folder / "tags" / "t.csv", "tagId,tag\n1,x\n")
+    _write(folder / "a.csv", one)
+    assert read(spark, str(folder)).count() == 1
+    _write(folder / "b.csv", other)
+    with pytest.raises(Exception, match="header"):
+        read(spark, str(folder)).collect()
+
+
 def test_movies(spark, tmp_path):
     head = "movieId,title,genres,year,rated,runtime,director,writer,actors,plot,language,country,awards,imdb_rating,imdb_votes\n"
     body = '1,"A, B",x|y,1999,N/A,1 min,D,W,"a, b","said ""no""\nand left",E,U,N/A,7.5,1234.0\n'

@@ -16,6 +16,34 @@ from workload.registry import flat, query
 ITERS, REG = 3, 0.1
 
 
+def _stationary(model, rank: int):
+    """(userId, stationary): whether a user's factors solve the penalised problem
+    over the user's ratings with the films given, as the last step of a fit does:
+    no gradient where a factor is positive, none that points down where it is 0."""
+    reg = model.params.reg
+    u = model.user_factors.select(F.col("id").alias("userId"), F.col("features").alias("u"))
+    i = model.item_factors.select(F.col("id").alias("movieId"), F.col("features").alias("i"))
+    rated = model.ratings.join(i, "movieId").join(u, "userId")
+    product = F.aggregate(F.zip_with("u", "i", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    sums = rated.withColumn("miss", product - F.col("rating")).groupBy("userId").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("u").alias("u"),
+        *[F.sum(F.col("miss") * F.get("i", F.lit(k))).alias(f"g{k}") for k in range(rank)])
+    met = F.lit(True)
+    for k in range(rank):
+        x = F.get("u", F.lit(k))
+        slope = (F.col(f"g{k}") + F.lit(reg) * F.col("n") * x) / F.col("n")
+        met = met & (slope > -1e-3) & ((x == 0) | (slope < 1e-3))
+    return sums.select("userId", met.alias("stationary"))
+
+
+def _fitted(model, rank: int = 10):
+    """``_summary`` and, for users, whether the fit's last step is solved."""
+    solved = _stationary(model, rank).select(
+        F.lit("user").alias("side"), F.col("userId").alias("id"), "stationary")
+    return _summary(model).join(solved, ["side", "id"], "left").withColumn(
+        "stationary", F.coalesce("stationary", F.col("side") == "item"))
+
+
 def _summary(model):
     """(side, id, size, nonnegative): what must hold of any fit."""
     out = None
@@ -34,14 +62,23 @@ _FIT = """
     UNION ALL SELECT 'item', movieId, 10, true FROM (SELECT DISTINCT movieId FROM ratings)"""
 
 
-@query("f1_fit", v.with_views(["ratings"], {}, _FIT))
+@query("f1_fit", v.with_views(["ratings"], {}, f"SELECT *, true AS stationary FROM ({_FIT})"))
 def f1_fit(spark, sf):
-    return _summary(fit(cut(v.ratings(spark, sf)), Params(rank=10, iters=5)))
+    return _fitted(fit(cut(v.ratings(spark, sf)), Params(rank=10, iters=5)))
 
 
-@query("f1_fit_recommend")
+@query("f1_fit_recommend", v.with_views(["ratings"], {}, """
+    SELECT userId, CAST(UNNEST(range(1, 1 + LEAST(20, (SELECT COUNT(DISTINCT movieId) FROM ratings) - n)))
+                        AS INTEGER) AS position, true AS unseen
+    FROM (SELECT userId, COUNT(*) AS n FROM ratings GROUP BY userId)"""))
 def f1_fit_recommend(spark, sf):
-    return recommend(fit(cut(v.ratings(spark, sf)), Params(rank=10, iters=5)), n=20)
+    """Twenty films, or as many as there are, for every user, none of them rated.
+    Which films is up to the fit."""
+    rated = cut(v.ratings(spark, sf))
+    top = recommend(fit(rated, Params(rank=10, iters=5)), n=20)
+    seen = rated.select("userId", "movieId", F.lit(False).alias("unseen"))
+    return top.join(seen, ["userId", "movieId"], "left").select(
+        "userId", "position", F.coalesce("unseen", F.lit(True)).alias("unseen"))
 
 
 @query("f2_implicit_labels", v.with_views(["ratings"], {}, """
@@ -69,27 +106,56 @@ def _halves(spark, sf):
     return v.vectors(spark, sf, 1), v.vectors(spark, sf, 0), v.ratings(spark, sf)
 
 
-@query("f3_predict_unseen", v.with_views(["ratings", "first_half", "second_half"], _SCORED, """
+def _asking(spark, sf):
+    """The users that predictions are asked for."""
+    few = v.vectors(spark, sf, 1).filter(F.col("label") <= 4)
+    return few.select(F.col("id").alias("userId"))
+
+
+_ASKED = "userId IN (SELECT id FROM second_half WHERE label <= 4)"
+
+
+@query("f3_predict_unseen", v.with_views(["ratings", "first_half", "second_half"], _SCORED, f"""
     SELECT userId, movieId, ROUND(CAST(predictedRating AS DOUBLE), 4) AS predictedRating
-    FROM scored"""))
+    FROM scored WHERE {_ASKED}"""))
 def f3_predict_unseen(spark, sf):
-    scored = scoring.predict_unseen(*_halves(spark, sf), rank=v.HALF)
+    scored = scoring.predict_unseen(*_halves(spark, sf), rank=v.HALF, users=_asking(spark, sf))
     value = F.round(F.col("predictedRating").cast("double"), 4)
     return scored.withColumn("predictedRating", value)
 
 
-@query("f4_recommend", v.with_views(["ratings", "first_half", "second_half"], _SCORED, """
+def _best_sql(where: str = "true") -> str:
+    return f"""
     SELECT userId, movieId, ROUND(CAST(predictedRating AS DOUBLE), 4) AS predictedRating,
            CAST(position AS INTEGER) AS position
     FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY userId
                                        ORDER BY predictedRating DESC, movieId) AS position
-          FROM scored) WHERE position <= 20"""))
-def f4_recommend(spark, sf):
-    top = scoring.recommend_top(*_halves(spark, sf), rank=v.HALF, n=20)
+          FROM scored WHERE {where}) WHERE position <= 20"""
+
+
+def _best(spark, sf, **how):
+    top = scoring.recommend_top(*_halves(spark, sf), rank=v.HALF, n=20, **how)
     value = F.round(F.col("predictedRating").cast("double"), 4)
     return top.withColumn("predictedRating", value)
 
 
+@query("f4_recommend", v.with_views(["ratings", "first_half", "second_half"], _SCORED, _best_sql()))
+def f4_recommend(spark, sf):
+    return _best(spark, sf)
+
+
+@query("f4_recommend_users", v.with_views(
+    ["ratings", "first_half", "second_half"], _SCORED, _best_sql(_ASKED)))
+def f4_recommend_users(spark, sf):
+    return _best(spark, sf, users=_asking(spark, sf))
+
+
+@query("f4_recommend_blocks", v.with_views(["ratings", "first_half", "second_half"], _SCORED, _best_sql()))
+def f4_recommend_blocks(spark, sf):
+    """The same over a grid of many small blocks."""
+    return _best(spark, sf, per_block=(64, 96))
+
+
 _UPSERTED = """
     SELECT COALESCE(b.userId, n.userId) AS userId, COALESCE(b.movieId, n.movieId) AS movieId,
            COALESCE(n.rating, b.rating) AS rating,
@@ -121,14 +187,15 @@ def f7_remove_ratings(spark, sf):
 
 def _touched_sql(key: str) -> str:
     return f"""
-        SELECT userId, movieId, rating FROM upserted WHERE {key} IN (
-            SELECT {key} FROM upserted WHERE {key} IN (SELECT {key} FROM batch)
-            GROUP BY {key} HAVING COUNT(full_train) <= 20)"""
+        SELECT userId, movieId, rating FROM upserted SEMI JOIN (
+            SELECT {key} FROM upserted SEMI JOIN batch USING ({key})
+            GROUP BY {key} HAVING COUNT(full_train) <= 20) USING ({key})"""
 
 
 def _selected(spark, sf):
-    ratings = ra.upsert_ratings(v.base(spark, sf), v.batch(spark, sf))
-    return ra.select_for_update(ratings, v.batch(spark, sf), 20)
+    batch = cut(v.batch(spark, sf))
+    ratings = cut(ra.upsert_ratings(cut(v.base(spark, sf)), batch))
+    return ra.select_for_update(ratings, batch, 20)
 
 
 @query("f8_select_users", v.with_views(["base", "batch"], {"upserted": _UPSERTED}, _touched_sql("userId")))
