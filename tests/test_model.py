@@ -288,3 +288,10 @@ def test_cross_validation_of_ratings(rate):
                                  folds=2, samples=[(10, 0), (20, 1)]).collect()
     assert [(r.num_users, r.user_group) for r in got] == [(10, 0), (20, 1)]
     assert all(r.train_users <= r.num_users and r.rmse > 0 for r in got)
+
+
+def test_cross_validation_does_not_depend_on_partitions(rate):
+    rated = rate(_sample(30, 12, 0.9, 14))
+    grid = {"regParam": [0.1], "rank": [2], "maxIter": [2]}
+    few, many = (cross_validate_ratings(rated.repartition(n), grid, folds=2).first() for n in (2, 5))
+    assert few[:-1] == many[:-1] and few.rmse == pytest.approx(many.rmse, abs=1e-4)

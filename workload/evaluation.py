@@ -11,7 +11,7 @@ from reelspark.operators import regression as reg
 from reelspark.operators.foldin import prefix_solve
 from reelspark.plans.evaluation import error_curve, evaluate, evaluate_ownership
 from reelspark.plans.model import Model, Params, no_ids
-from reelspark.plans.tuning import cross_validate_ratings, cross_validate_users, pivot_curves
+from reelspark.plans.tuning import cross_validate_ratings, cross_validate_users
 from workload import views as v
 from workload.factors import ITERS, REG
 from workload.registry import query, r6
@@ -33,14 +33,13 @@ def v1_build_profiles(spark, sf):
     return pr.build_profiles(v.ratings(spark, sf), seed=9)
 
 
-def _unseen(source: str, trainers: str = "SELECT o_custkey FROM orders") -> dict[str, str]:
+def _unseen(source: str, known: str = "true") -> dict[str, str]:
     """Profiles of the test users, the films the training users rated, and the
     users whose profile is not too obscure."""
     return {
         "test": f"SELECT * FROM {source} WHERE userId IN (SELECT userId FROM test_users)",
         "train_items": f"SELECT DISTINCT movieId FROM {source} "
-                       "WHERE userId NOT IN (SELECT userId FROM test_users) "
-                       f"AND userId IN ({trainers})",
+                       f"WHERE userId NOT IN (SELECT userId FROM test_users) AND {known}",
         "profiles": _profiles_sql("test"),
         "obscurity": """
             SELECT userId, ANY_VALUE(profile_size) AS size,
@@ -66,32 +65,34 @@ def _parts(spark, sf, rated):
     return test, items
 
 
-# One segment trains: its users have not rated about half of the films.
-_TRAINERS = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'"
+# Films of some types count as unknown to the fit, whoever has rated them.
+_UNKNOWN_TYPES = ("PROMO", "SMALL")
+_KNOWN = f"movieId // 10 IN (SELECT p_partkey FROM part WHERE p_type NOT IN {_UNKNOWN_TYPES})"
 
 
 def _fine(spark, sf):
     rated = v.fine_ratings(spark, sf)
     test = rated.join(v.test_users(spark, sf), "userId", "left_semi")
-    trainers = v.table(spark, sf, "customer").filter(F.col("c_mktsegment") == "MACHINERY")
-    train = rated.join(trainers.select(F.col("c_custkey").alias("userId")), "userId", "left_semi")
-    items = train.select("movieId").distinct()
+    known = v.table(spark, sf, "part").filter(~F.col("p_type").isin(*_UNKNOWN_TYPES))
+    train = rated.join(v.test_users(spark, sf), "userId", "left_anti")
+    items = train.join(known, F.floor(F.col("movieId") / 10) == F.col("p_partkey"), "left_semi")
+    items = items.select("movieId").distinct()
     return pr.filter_obscure(pr.build_profiles(test, 9), items, MOST), items
 
 
-@query("v2_filter_obscure", v.with_views(["fine_ratings", "test_users"], _unseen("fine_ratings", _TRAINERS),
+@query("v2_filter_obscure", v.with_views(["fine_ratings", "test_users"], _unseen("fine_ratings", _KNOWN),
                                          "SELECT * FROM kept"))
 def v2_filter_obscure(spark, sf):
     return _fine(spark, sf)[0][0]
 
 
-@query("v2_obscure_users", v.with_views(["fine_ratings", "test_users"], _unseen("fine_ratings", _TRAINERS), """
+@query("v2_obscure_users", v.with_views(["fine_ratings", "test_users"], _unseen("fine_ratings", _KNOWN), """
     SELECT userId FROM obscurity WHERE userId NOT IN (SELECT userId FROM kept_users)"""))
 def v2_obscure_users(spark, sf):
     return _fine(spark, sf)[0][1]
 
 
-@query("v3_split_profiles", v.with_views(["fine_ratings", "test_users"], _unseen("fine_ratings", _TRAINERS), """
+@query("v3_split_profiles", v.with_views(["fine_ratings", "test_users"], _unseen("fine_ratings", _KNOWN), """
     SELECT 'train' AS part, userId, movieId, rating, rn FROM train
     UNION ALL SELECT 'validation', userId, movieId, rating, rn FROM validation"""))
 def v3_split_profiles(spark, sf):
@@ -197,7 +198,7 @@ def _created_sql() -> dict[str, str]:
 
 @query("v4_prefix_solve_unknown_films", v.with_views(
     ["fine_ratings", "test_users", "films"],
-    {**_unseen("fine_ratings", _TRAINERS), **_created_sql()},
+    {**_unseen("fine_ratings", _KNOWN), **_created_sql()},
     "SELECT j, userId, ROUND(CAST(CAST(w AS FLOAT) AS DOUBLE), 4) AS value FROM solved"))
 def v4_prefix_solve_unknown_films(spark, sf):
     """Films the training users have not rated get their factors on the way."""
@@ -329,18 +330,89 @@ def t1_user_folds(spark, sf):
     return pr.user_folds(v.ratings(spark, sf), 7, 9)
 
 
-@query("t2_cross_validate_users")
+def _folds_sql(folds: int) -> dict[str, str]:
+    """The longest prefix that a test user of each fold is solved from."""
+    return {
+        "ranked": f"""
+            SELECT userId, ROW_NUMBER() OVER (ORDER BY {v.order_key_sql(9, 'userId')}, userId) AS rn,
+                   COUNT(*) OVER () AS users
+            FROM (SELECT DISTINCT userId FROM ratings)""",
+        "folds": f"SELECT userId, (rn - 1) // (users // {folds}) AS fold FROM ranked",
+        "every": f"SELECT UNNEST(range(0, {folds})) AS fold",
+        "known": "SELECT DISTINCT e.fold, r.movieId FROM every e, ratings r JOIN folds f USING (userId) "
+                 "WHERE f.fold <> e.fold",
+        "profiles": _profiles_sql("ratings"),
+        "marked": f"""
+            SELECT f.fold, p.*, k.movieId IS NULL AS fresh, LEAST(CEIL(profile_size / 2), {MOST}) AS nt
+            FROM profiles p JOIN folds f USING (userId)
+            LEFT JOIN known k ON k.fold = f.fold AND k.movieId = p.movieId""",
+        "kept": f"""
+            SELECT fold, userId, ANY_VALUE(nt) AS nt, COUNT(*) FILTER (rn > nt AND NOT fresh) AS validation
+            FROM marked GROUP BY fold, userId
+            HAVING CASE WHEN ANY_VALUE(profile_size) >= 40
+                        THEN COUNT(*) FILTER (fresh) < ANY_VALUE(profile_size) - {5 * MOST / 4}
+                        ELSE COUNT(*) FILTER (fresh) < FLOOR(ANY_VALUE(profile_size) * 3 / 8) END""",
+        "reached": f"SELECT fold, MAX(nt) AS last FROM kept WHERE validation > 0 AND fold < {folds} GROUP BY fold",
+    }
+
+
+@query("t2_cross_validate_users", v.with_views(["ratings"], _folds_sql(2), """
+    SELECT CAST(setting AS INTEGER) AS setting, 10 AS rank, 5 AS iters, reg, CAST(fold AS INTEGER) AS fold,
+           CAST(last AS BIGINT) AS steps, CAST(last AS INTEGER) AS last, true AS plausible
+    FROM reached, (VALUES (0, 0.1::DOUBLE), (1, 1.0::DOUBLE)) AS settings(setting, reg)"""))
 def t2_cross_validate_users(spark, sf):
+    """How far each fold's curve goes, and that its errors are between 0 and 3 stars."""
     grid = [Params(rank=10, iters=5, reg=r) for r in (0.1, 1.0)]
     rated = cut(v.ratings(spark, sf))  # read once per setting and fold
-    return pivot_curves(cross_validate_users(rated, grid, folds=2, most=MOST), MOST)
+    curves = cross_validate_users(rated, grid, folds=2, most=MOST)
+    keys = ["setting", "rank", "iters", "reg", "fold"]
+    return curves.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("steps"), F.max("j").alias("last"),
+        F.bool_and((F.col("rmse") > 0) & (F.col("rmse") < 3)).alias("plausible"))
+
+
+_SHARE = 0.7
+
+
+def _samples_sql(samples: list[tuple[int | None, int]]) -> str:
+    """Ratings, users and films of the trained share of each sample."""
+    parts = []
+    for n, group in samples:
+        users = "SELECT DISTINCT userId FROM ratings"
+        if n is not None:
+            key = v.order_key_sql(9 + group, "userId")
+            users = f"SELECT userId FROM ({users}) ORDER BY {key}, userId LIMIT {n}"
+        parts.append(f"""
+            SELECT CAST({n or 'NULL'} AS BIGINT) AS num_users, {group} AS user_group,
+                   COUNT(*) AS train_ratings, COUNT(DISTINCT userId) AS train_users,
+                   COUNT(DISTINCT movieId) AS train_movies
+            FROM ratings WHERE userId IN ({users})
+            AND {v.order_key_sql(9, 'userId', 'movieId')} < {_SHARE} * 2147483647""")
+    return v.with_views(["ratings"], {"samples": " UNION ALL ".join(parts)}, """
+        SELECT samples.*, reg AS "regParam", CAST(10 AS BIGINT) AS rank, CAST(5 AS BIGINT) AS "maxIter",
+               true AS plausible
+        FROM samples, (VALUES (0.1::DOUBLE), (1.0::DOUBLE)) AS settings(reg)""")
+
+
+def _cross_validated(spark, sf, samples):
+    grid = {"regParam": [0.1, 1.0], "rank": [10], "maxIter": [5]}
+    got = cross_validate_ratings(
+        cut(v.ratings(spark, sf)), grid, folds=2, train_share=_SHARE, samples=samples)
+    return got.withColumn("plausible", (F.col("rmse") > 0) & (F.col("rmse") < 6)).drop("rmse")
 
 
-@query("t3_cross_validate_ratings")
+_SAMPLES = [(500, 0), (500, 1), (1000, 0)]
+
+
+@query("t3_cross_validate_ratings", _samples_sql(_SAMPLES))
 def t3_cross_validate_ratings(spark, sf):
-    grid = {"regParam": [0.1, 1.0], "rank": [10], "maxIter": [5]}
-    return cross_validate_ratings(
-        cut(v.ratings(spark, sf)), grid, folds=2, samples=[(500, 0), (500, 1), (1000, 0)])
+    """Samples of users, which is what the operator is for."""
+    return _cross_validated(spark, sf, _SAMPLES)
+
+
+@query("t3_cross_validate_all", _samples_sql([(None, 0)]))
+def t3_cross_validate_all(spark, sf):
+    return _cross_validated(spark, sf, None)
 
 
 @query("t4_rmse", v.with_views(["ratings", "films", "customers"], {}, """
