@@ -24,7 +24,7 @@ WINDOW, STRIDE, SHORTEST = 128, 64, 40
 BAND = 16
 #: Characters of benchmark text that are searched for in one pass over the documents.
 BLOCK_CHARS = 1_000_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 MARKS = 1 << 22
 CANDIDATES = 2048
 

@@ -31,7 +31,7 @@ CAPACITY, END = 1024, 2
 GROUPS, SMALL = 1024, 1 / 4
 #: Texts of these characters are split alike by both tokenizers; others take the slower one.
 PLAIN = regex.compile(r"[\n\r\t\x20-\x7e¡-¬®-ſ‐-‧€]*")
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 class Encoder:
