@@ -22,7 +22,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     Each text is lower-cased and has a line break on either side; the last
     place of a text starts no n-gram of order two or more (bucket -1).
     """
-    whole = "".join(f"\n{t}\n" for t in map(str.lower, texts))
+    whole = "".join(f"\n{t}\n" for t in map(str.lower, texts)) + "\n" * max(ORDERS)  # as if one more text came
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     size = np.array([len(t.lower()) + 2 for t in texts])
     first = np.cumsum(size) - size
@@ -37,7 +37,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         bucket = (h >> np.uint32(16)).astype(np.int32)
         if n > 1:
             bucket[ends] = -1
-        found.append(bucket)
+        found.append(bucket[:-max(ORDERS)])
     return first, found
 
 

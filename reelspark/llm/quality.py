@@ -18,6 +18,8 @@ STEPS, RATE, DECAY = 150, 0.1, 1e-3
 #: Lines of one document that are learned from at most; scoring takes all.
 LINES_LEARNED = 256
 
+FEATURES = 3 * 16 + 2
+
 # Classes of bytes.
 SPACE, UPPER, LETTER, DIGIT, STOP, MARK, SYMBOL, BREAK = range(8)
 CLASS = np.full(256, LETTER, dtype=np.uint8)  # bytes of longer characters count as letters
@@ -33,6 +35,8 @@ CLASS[10] = BREAK
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features by line, number of lines of each text, bytes of each line)."""
+    if not texts:
+        return np.zeros((0, FEATURES)), np.zeros(0, np.int64), np.zeros(0, np.int64)
     whole = b"".join(t + b"\n" for t in texts)
     a = np.frombuffer(whole, dtype=np.uint8)
     kind = CLASS[a]
@@ -42,7 +46,7 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     lines = np.array([t.count(b"\n") + 1 for t in texts], dtype=np.int64)
 
     def per_line(x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, starts, dtype=np.int64) if len(starts) else np.zeros(0)
+        return np.add.reduceat(x, starts, dtype=np.int64)
 
     line = np.repeat(np.arange(len(starts)), size + 1)
     count = {c: per_line(kind == c) for c in (SPACE, UPPER, LETTER, DIGIT, STOP, MARK, SYMBOL)}
@@ -94,7 +98,7 @@ class Chains:
     def __init__(self, lines: np.ndarray):
         first = np.cumsum(lines) - lines
         order = np.argsort(-lines, kind="stable")
-        self.first, self.lines = first[order], lines[order]
+        self.first, self.lines, self.opening = first[order], lines[order], first
         longest = int(self.lines[0]) if len(lines) else 0
         self.live = np.searchsorted(-self.lines, -np.arange(longest), side="left")
         self.total = int(lines.sum())
@@ -123,7 +127,7 @@ class Chains:
             back[at - 1] = x / x.sum(axis=1, keepdims=True)
         both = ahead * back
         both /= both.sum(axis=1, keepdims=True)
-        return both[:, 1], moves, both[self.first, 1]
+        return both[:, 1], moves, both[self.opening, 1]
 
 
 class Model:

@@ -190,17 +190,16 @@ def _answer_windows(batches):
 
 def _kept(text: bytes, gone: np.ndarray) -> bytes:
     """The text without the words marked in ``gone``; a gap is one line break or space."""
-    spans = [m.span() for m in WORD.finditer(text)]
-    out, end = [], None
-    for (i, j), drop in zip(spans, gone, strict=True):
+    out, end, cut_since = [], None, False
+    for word, drop in zip(WORD.finditer(text), gone, strict=True):
         if drop:
+            cut_since = True
             continue
         if end is not None:
-            gap = text[end[1]:i]
-            whole = end[0]
-            out.append(gap if whole else (b"\n" if b"\n" in gap else b" "))
-        out.append(text[i:j])
-        end = (True, j)
+            gap = text[end:word.start()]
+            out.append((b"\n" if b"\n" in gap else b" ") if cut_since else gap)
+        out.append(word[0])
+        end, cut_since = word.end(), False
     return b"".join(out)
 
 
