@@ -32,6 +32,8 @@ GROUPS, SMALL = 1024, 1 / 4
 #: Texts of these characters are split alike by both tokenizers; others take the slower one.
 PLAIN = regex.compile(r"[\n\r\t\x20-\x7e¡-¬®-ſ‐-‧€]*")
 SLICE = 2 << 20
+#: Pieces of one length that a task numbers; there are few lengths, so all of them are large.
+RANKED = 20_000
 
 
 class Encoder:
@@ -240,7 +242,7 @@ def pack(
     order = order_key(0, F.coalesce(F.xxhash64("key"), F.lit(0)), F.col("piece"))
     numbered = rank_in_group(
         cutted.withColumn("order", order).withColumn("tie", F.struct("key", "piece", "ids_crc32")),
-        "length", "order", "tie", number="nth",
+        "length", "order", "tie", number="nth", min_rows=RANKED,
     ).select("key", "piece", "start", "length", "ids_crc32", "nth")
 
     def run(batches):
