@@ -82,10 +82,15 @@ def top_tags(genome: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFram
     return _first(tag_means(genome, by), n, by, F.desc("relevance"), F.asc("tag"))
 
 
-def _joined_best(df: DataFrame, k: int, group: Sequence[str], order: list, text) -> DataFrame:
-    """``text`` of the first ``k`` rows per group in order, as one string."""
+def _best(df: DataFrame, k: int, group: Sequence[str], order: list) -> DataFrame:
+    """The first ``k`` rows per group in order, numbered in ``_rn``."""
     numbered = df.withColumn("_rn", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-    best = numbered.filter(F.col("_rn") <= k).withColumn("_text", text)
+    return numbered.filter(F.col("_rn") <= k)
+
+
+def _joined(best: DataFrame, group: Sequence[str], text) -> DataFrame:
+    """``text`` of the numbered rows of each group, as one string."""
+    best = best.withColumn("_text", text)
     rows = F.array_sort(F.collect_list(F.struct("_rn", "_text")))  # at most k
     return best.groupBy(*group).agg(F.array_join(rows["_text"], BETWEEN).alias("top_films"))
 
@@ -94,9 +99,10 @@ def top_films_by_tag(
     genome: DataFrame, movies: DataFrame, k: int = 5, by: Sequence[str] = ()
 ) -> DataFrame:
     """(tag, top_films): titles of the ``k`` most relevant films of each tag."""
-    titled = genome.join(movies.select("movieId", "title"), "movieId")
-    order = [F.desc("relevance"), F.asc("movieId")]
-    return _joined_best(titled, k, [*by, "tag"], order, F.col("title"))
+    listed = genome.join(movies.select("movieId"), "movieId", "left_semi")
+    best = _best(listed, k, [*by, "tag"], [F.desc("relevance"), F.asc("movieId")])
+    titled = best.join(movies.select("movieId", "title"), "movieId")  # only the best need a title
+    return _joined(titled, [*by, "tag"], F.col("title"))
 
 
 def _people(collection: DataFrame, group: str) -> DataFrame:
@@ -115,16 +121,19 @@ def people_counts(collection: DataFrame, group: str, by: Sequence[str] = ()) ->
 
 
 def top_films_by_person(
-    collection: DataFrame, group: str, k: int = 5, by: Sequence[str] = ()
+    collection: DataFrame, group: str, k: int = 5, by: Sequence[str] = (), only: DataFrame | None = None
 ) -> DataFrame:
-    """(name, top_films): ``(title,rating)`` of each person's ``k`` best films."""
+    """(name, top_films): ``(title,rating)`` of each person's ``k`` best films;
+    of the people in ``only`` (by, name) if it is given."""
     films = _people(collection, group).select(*by, "movieId", "name", "title", "imdb_rating")
+    if only is not None:
+        films = films.join(only, [*by, "name"], "left_semi")
     text = F.concat(
         F.lit("("), "title", F.lit(","),
         F.coalesce(F.col("imdb_rating").cast("string"), F.lit("nan")), F.lit(")"),
     )
     order = [F.desc_nulls_last("imdb_rating"), F.asc("title"), F.asc("movieId")]
-    return _joined_best(films.distinct(), k, [*by, "name"], order, text)
+    return _joined(_best(films.distinct(), k, [*by, "name"], order), [*by, "name"], text)
 
 
 def shown(n: int) -> int:
@@ -148,4 +157,5 @@ def people_panel(
     """(name, n, top_films) for the ``n`` people with the most films."""
     counts = _counted(collection, group, by)
     first = _first(counts, shown(n), by, F.desc("n"), F.asc("name"))
-    return first.join(top_films_by_person(collection, group, 5, by), [*by, "name"], "left")
+    best = top_films_by_person(collection, group, 5, by, only=first.select(*by, "name"))
+    return first.join(best, [*by, "name"], "left")

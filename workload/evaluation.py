@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelspark.functions.lineage import cut
+from reelspark.functions.lineage import cut, scratch
 from reelspark.operators import curves as cu
 from reelspark.operators import profiles as pr
 from reelspark.operators import regression as reg
@@ -12,6 +12,8 @@ from reelspark.operators.foldin import prefix_solve
 from reelspark.plans.evaluation import error_curve, evaluate, evaluate_ownership
 from reelspark.plans.model import Model, Params, no_ids
 from reelspark.plans.tuning import cross_validate_ratings, cross_validate_users
+from reelspark.recommender import Recommender
+from reelspark.sources.model_store import save_model
 from workload import views as v
 from workload.factors import ITERS, REG
 from workload.registry import query, r6
@@ -299,7 +301,7 @@ def _given(spark, sf):
     users = v.test_users(spark, sf)
     train = rated.join(users, "userId", "left_anti").withColumn("full_train", F.lit(True))
     items = v.film_factors(spark, sf, 2).select("id", "features")
-    model = Model(Params(rank=2, iters=ITERS, reg=REG), no_ids(items).withColumn("features", F.array()),
+    model = Model(Params(rank=2, iters=ITERS, reg=REG), no_ids(items).withColumn("features", F.array().cast("array<float>")),
                   items, train, no_ids(items), no_ids(items))
     return model, rated.join(users, "userId", "left_semi")
 
@@ -313,6 +315,16 @@ def v8_evaluate(spark, sf):
     return _r5(evaluate(*_given(spark, sf)))
 
 
+@query("s7_evaluate_loaded", _protocol_sql("rating"))
+def s7_evaluate_loaded(spark, sf):
+    """A model saved with the defaults, without ratings, under other column names."""
+    model, test = _given(spark, sf)
+    names = {"userId": "u", "movieId": "m", "rating": "r"}
+    path = scratch(spark, "model")
+    save_model(model, path, names=list(names.values()))
+    return _r5(Recommender().load(spark, path).evaluate(test.withColumnsRenamed(names)))
+
+
 @query("v9_evaluate_ownership", _protocol_sql("CAST(4.0 AS FLOAT)"))
 def v9_evaluate_ownership(spark, sf):
     return _r5(evaluate_ownership(*_given(spark, sf)))

@@ -14,7 +14,13 @@ from reelspark.sources.readers import (
     read_ratings,
     read_tags,
 )
-from reelspark.sources.tables import append_table, export_csv, key_violations, read_table
+from reelspark.sources.tables import (
+    TABLE_KEYS,
+    append_table,
+    export_csv,
+    key_violations,
+    read_table,
+)
 from workload import views as v
 from workload.registry import flat, query
 
@@ -86,6 +92,33 @@ def s5_append_table(spark, sf):
     return read_table(spark, path)
 
 
+@query("s5_append_tables", v.with_views(["ratings", "movies", "genome"], {}, """
+    SELECT 'movies' AS name, COUNT(*) AS n FROM movies
+    UNION ALL SELECT 'links', COUNT(*) FROM movies
+    UNION ALL SELECT 'genome_tags', COUNT(DISTINCT tagId) FROM genome
+    UNION ALL SELECT 'genome_scores', COUNT(*) FROM genome
+    UNION ALL SELECT 'tags', 2 * COUNT(*) FROM ratings"""))
+def s5_append_tables(spark, sf):
+    """The other related tables: each appended twice, which only tables without
+    a key take as further rows."""
+    movies, genome = v.movies(spark, sf), v.genome(spark, sf)
+    rows = {
+        "movies": movies,
+        "links": movies.select("movieId", F.lpad(F.col("movieId").cast("string"), 7, "0").alias("imdbId")),
+        "genome_tags": genome.select("tagId", "tag").distinct(),
+        "genome_scores": genome.select("movieId", "tagId", "relevance"),
+        "tags": v.ratings(spark, sf).select("userId", "movieId", F.lit("seen").alias("tag")),
+    }
+    out = None
+    for name, df in rows.items():
+        path = scratch(spark, name)
+        for _ in range(2):
+            append_table(df, path, TABLE_KEYS[name], skip_present=True)
+        counted = read_table(spark, path).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 def _saved(spark, sf) -> str:
     users = v.vectors(spark, sf, 1).select("id", "features")
     items = v.vectors(spark, sf, 0).select("id", "features")
