@@ -152,6 +152,44 @@ def solve_stats(rank: int, iters: int, reg: float):
     return run
 
 
+def merge_stats(rank: int):
+    """(id, stats) sorted by id -> one row per id with their sum."""
+
+    def run(batches):
+        for ids, stats in _merged(_stat_parts(batches, rank)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), lists(stats, pa.float64())], names=["id", "stats"]
+            )
+
+    return run
+
+
+def squared_errors(rank: int):
+    """(j, userId, features, stats, squares, n) -> (j, userId, sse, validation_size).
+
+    The squared error of w over rows (a, b) is sum b^2 - 2 w.sum(b a) + w'(sum a a')w,
+    so it needs the rows' sums only.
+    """
+    step = max(1, CHUNK_BYTES // (8 * (width(rank) + 2 * rank * rank)))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                flat = piece.column("stats").flatten().to_numpy()
+                gram, rhs, _ = unpack(flat.reshape(-1, width(rank)), rank)
+                w, _ = vectors_of(piece.column("features"), rank)
+                sse = piece.column("squares").to_numpy() - 2 * (w * rhs).sum(axis=1)
+                sse += np.einsum("ni,nij,nj->n", w, gram, w)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("j"), piece.column("userId"), pa.array(np.maximum(sse, 0.0)),
+                     piece.column("n")],
+                    names=["j", "userId", "sse", "validation_size"],
+                )
+
+    return run
+
+
 def solve_prefixes(rank: int, most: int, iters: int, reg: float):
     """(id, rn, rating, features, fresh) sorted by (id, rn) -> (j, id, features).
 
@@ -168,7 +206,6 @@ def solve_prefixes(rank: int, most: int, iters: int, reg: float):
         ratings = table.column("rating").to_numpy()
         fresh = table.column("fresh").to_numpy()
         vectors, known = vectors_of(table.column("features").combine_chunks(), rank)
-        stats = row_stats(ratings, vectors, known)
         starts = np.r_[True, ids[1:] != ids[:-1]]
         who = np.cumsum(starts) - 1
         firsts = np.flatnonzero(starts)
@@ -178,8 +215,8 @@ def solve_prefixes(rank: int, most: int, iters: int, reg: float):
             end = firsts[high] if high < len(firsts) else len(ids)
             rows = slice(first, end)
             user = who[rows] - low
-            grid = np.zeros((high - low, most + 1, stats.shape[1]))
-            grid[user, at[rows] + 1] = stats[rows]
+            grid = np.zeros((high - low, most + 1, width(rank)))
+            grid[user, at[rows] + 1] = row_stats(ratings[rows], vectors[rows], known[rows])
             sums = np.cumsum(grid, axis=1)
             new = fresh[rows]
             use = sums[user, at[rows] + np.where(new, 0, 1)]

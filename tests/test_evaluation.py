@@ -137,3 +137,22 @@ def test_ownership_protocol(setting):
 def test_all_users_too_obscure(setting, rate):
     model, _ = setting
     assert evaluate(model, rate([(1, 500, 3.0), (1, 501, 3.0)])).count() == 0
+
+
+def test_a_large_user_is_summed_in_slices(spark, factors, rate):
+    rng = np.random.default_rng(31)
+    items = factors({m: rng.uniform(0, 2, 3) for m in range(40)})
+    rows = [(1, m, float(rng.integers(1, 6))) for m in range(40)] + [(2, m, 3.0) for m in range(3)]
+    solved = spark.createDataFrame(
+        [(j, u, [float(x) for x in rng.uniform(0, 1, 3)]) for u in (1, 2, 3) for j in (1, 2)],
+        "j int, userId bigint, features array<float>")
+    whole, sliced = (
+        sorted(tuple(r) for r in cu.user_errors(solved, rate(rows), items, 3, n).collect()) for n in (1000, 5))
+    assert [r[:2] for r in whole] == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    for a, b in zip(whole, sliced, strict=True):
+        assert a[:2] == b[:2] and a[3] == b[3] and a[2] == pytest.approx(b[2])
+    w = {(r.j, r.userId): np.array(r.features) for r in solved.collect()}
+    v = {r.id: np.array(r.features) for r in items.collect()}
+    for j, u, sse, n in whole:
+        mine = [(m, r) for x, m, r in rows if x == u]
+        assert n == len(mine) and sse == pytest.approx(sum((r - w[j, u] @ v[m]) ** 2 for m, r in mine), rel=1e-5)

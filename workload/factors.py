@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelspark.functions.lineage import cut
+from reelspark.functions.vectors import dot
 from reelspark.operators import factors as fa
 from reelspark.operators import foldin, scoring
 from reelspark.operators import ratings as ra
@@ -24,7 +25,7 @@ def _stationary(model, rank: int):
     u = model.user_factors.select(F.col("id").alias("userId"), F.col("features").alias("u"))
     i = model.item_factors.select(F.col("id").alias("movieId"), F.col("features").alias("i"))
     rated = model.ratings.join(i, "movieId").join(u, "userId")
-    product = F.aggregate(F.zip_with("u", "i", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    product = dot(F.col("u"), F.col("i"), rank)
     sums = rated.withColumn("miss", product - F.col("rating")).groupBy("userId").agg(
         F.count(F.lit(1)).alias("n"), F.any_value("u").alias("u"),
         *[F.sum(F.col("miss") * F.get("i", F.lit(k))).alias(f"g{k}") for k in range(rank)])
