@@ -51,8 +51,8 @@ class Bags:
         marked = [f"<{w}>" for w in words]
         codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         size = np.array([len(w) for w in marked], dtype=np.int64)
-        owner = np.repeat(np.arange(len(words)), size)
-        left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # code points to the word's end
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        left = np.repeat(np.cumsum(size, dtype=np.int32), size) - np.arange(len(codes), dtype=np.int32)  # code points to the word's end
         bucket, of = [], []
         h = np.full(len(codes), 2166136261, dtype=np.uint32)
         for n in range(1, max(ORDERS) + 1):
@@ -63,7 +63,7 @@ class Bags:
                 whole = left >= n
                 bucket.append((h[whole] * np.uint32(2654435761)) >> np.uint32(14))
                 of.append(owner[whole])
-        return np.concatenate(bucket).astype(np.int64), np.concatenate(of)
+        return np.concatenate(bucket).astype(np.int32), np.concatenate(of)
 
     def means(self, value: np.ndarray) -> np.ndarray:
         """Per text, the mean over its distinct words of the mean of ``value`` over their n-grams."""
