@@ -1,10 +1,10 @@
 """Benchmark passages in documents by the q-gram lemma and banded alignment.
 
-Benchmark texts are cut into overlapping windows. A stretch of a document
-within k edits of a window of n characters shares at least n + 1 - q(k + 1) of
-its character q-grams, on diagonals that differ by at most k. Shared q-grams are
-counted in overlapping bands of diagonals; the bands that reach that number are
-aligned with the window inside the band.
+Benchmark texts are cut into overlapping windows of two lengths. A stretch of a
+document within k edits of a window of n characters shares at least
+n + 1 - q(k + 1) of its character q-grams, on diagonals that differ by at most
+k. Shared q-grams are counted in overlapping bands of diagonals; the bands that
+reach that number are aligned with the window inside the band.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import slices
 
 Q, ERROR = 10, 0.08
-WINDOW, STRIDE, SHORTEST = 128, 64, 40
+WINDOW, STRIDE = 128, 64
+#: Short windows, so close that every excerpt of 64 characters (LEAST + STEP - 1) holds a whole one.
+LEAST, STEP = 56, 9
 #: Bands of diagonals begin every BAND and are twice as wide; BAND exceeds every window's edits.
 BAND = 16
 #: Characters of benchmark text that are searched for in one pass over the documents.
@@ -38,56 +40,92 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """A hash of the ``Q`` characters from every place on."""
-    if len(codes) < Q:
-        return np.zeros(0, dtype=np.uint64)
+def _grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash of the ``q`` characters from every place on."""
+    n = len(codes) - q + 1
+    h = np.zeros(max(0, n), dtype=np.uint64)
+    if n <= 0:
+        return h
     m = np.uint64(0x9E3779B97F4A7C15)
     one = codes.astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
-        two = one[:-1] * m + one[1:]
-        four = two[:-2] * (m * m) + two[2:]
-        eight = four[:-4] * (m * m * m) + four[4:]
-        h = eight[:-2] * (m * m * m * m * m) + two[8:]
-        return h ^ (h >> np.uint64(32))
+        for k in range(q):
+            h *= m
+            h += one[k:k + n]
+    return h ^ (h >> np.uint64(32))
 
 
-class Windows:
-    """The windows of some benchmark texts and an index of their q-grams."""
+def _starts(n: int, size: int, step: int) -> list[int]:
+    """Where windows of ``size`` begin in a text of ``n`` characters, the last one at its end."""
+    return sorted({*range(0, max(1, n - size + 1), step), max(0, n - size)})
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.item, texts = [], []
-        for key, text in items:
-            text = normal(text)
-            if len(text) < SHORTEST:
-                continue
-            starts = [*range(0, max(1, len(text) - WINDOW + 1), STRIDE)]
-            if len(text) > WINDOW and starts[-1] + WINDOW < len(text):
-                starts.append(len(text) - WINDOW)
-            for s in starts:
-                self.item.append(key)
-                texts.append(_codes(text[s:s + WINDOW]))
-        self.item = np.array(self.item, dtype=np.int64)
-        self.size = np.array([len(t) for t in texts], dtype=np.int64)
-        self.edits = np.floor(self.size * ERROR).astype(np.int64)
-        self.least = self.size + 1 - Q * (self.edits + 1)
-        self.codes = np.zeros((len(texts), WINDOW), dtype=np.uint32)
-        gram, window, place = [], [], []
-        for i, t in enumerate(texts):
-            self.codes[i, :len(t)] = t
-            gram.append(_grams(t))
-            window.append(np.full(len(gram[-1]), i))
-            place.append(np.arange(len(gram[-1])))
-        if not texts:
-            return
-        gram, window, place = map(np.concatenate, (gram, window, place))
+
+class Grams:
+    """The places of some texts' q-grams, by q-gram."""
+
+    def __init__(self, q: int, gram: np.ndarray, place: np.ndarray, least: int):
         order = np.argsort(gram, kind="stable")
-        self.window, self.place = window[order].astype(np.int32), place[order].astype(np.int32)
+        self.q, self.place, self.least = q, place[order], least
         self.gram, self.start = np.unique(gram[order], return_index=True)
         self.many = np.diff(np.append(self.start, len(order)))
         self.marks = np.zeros(MARKS, dtype=bool)
         self.marks[self.gram % np.uint64(MARKS)] = True
 
+    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, place in the indexed ones) of every q-gram they share."""
+        gram = _grams(codes, self.q)
+        at = np.flatnonzero(self.marks[gram % np.uint64(MARKS)])
+        known = np.searchsorted(self.gram, gram[at])
+        known[known == len(self.gram)] = 0
+        real = self.gram[known] == gram[at]
+        at, known = at[real], known[real]
+        return np.repeat(at, self.many[known]), self.place[_ranges(self.start[known], self.many[known])]
+
+
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The ``many`` numbers from each ``start`` on, one after the other."""
+    return np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+class Windows:
+    """The windows of some benchmark texts and an index of the texts' q-grams.
+
+    The texts stand one after the other in ``flat``; a window is a stretch of
+    it. Windows of one kind, long or short, are in order of their places.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]]):
+        texts = [(key, normal(text)) for key, text in items]
+        texts = [(key, _codes(text)) for key, text in texts if text]
+        first = np.cumsum([0, *(len(t) for _, t in texts)])
+        self.flat = np.concatenate([*(t for _, t in texts), np.zeros(WINDOW, dtype=np.uint32)])
+        rows = []
+        for kind, (size, step) in enumerate(((WINDOW, STRIDE), (LEAST, STEP))):
+            for (key, t), at in zip(texts, first, strict=False):
+                if kind or len(t) > LEAST:  # shorter texts are one window, of the short kind
+                    rows += [(key, at + s, min(size, len(t)), kind) for s in _starts(len(t), size, step)]
+        self.item, self.at, self.size, kind = np.array(rows, dtype=np.int64).reshape(-1, 4).T.copy()
+        self.kinds = [np.flatnonzero(kind == k) for k in (0, 1)]
+        self.edits = np.floor(self.size * ERROR).astype(np.int64)
+        # Short windows need shorter q-grams to share any in spite of their edits.
+        q = np.minimum(Q, self.size // (self.edits + 1))
+        self.least = self.size + 1 - q * (self.edits + 1)
+        self.grams = []
+        owner = np.searchsorted(first, self.at, side="right") - 1
+        for n in np.unique(q):
+            of = np.unique(owner[q == n])
+            gram = [_grams(texts[i][1], int(n)) for i in of]
+            place = [first[i] + np.arange(len(g)) for i, g in zip(of, gram, strict=True)]
+            self.grams.append(Grams(int(n), np.concatenate(gram), np.concatenate(place), self.least[q == n].min()))
+
+    @property
+    def codes(self) -> np.ndarray:
+        return self._codes_of(np.arange(len(self.at)))
+
+    def _codes_of(self, window: np.ndarray) -> np.ndarray:
+        """The characters of some windows, and after a shorter one whatever follows it."""
+        return np.lib.stride_tricks.sliding_window_view(self.flat, WINDOW)[self.at[window]]
+
     def search(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, window, edits): where a stretch of a text is within a window's edits of it."""
         none = np.zeros(0, dtype=np.int64)
@@ -97,30 +135,39 @@ class Windows:
         texts = [normal(t) for t in texts]
         codes = _codes(gap + gap.join(texts) + gap)
         first = np.cumsum([2 * BAND, *(len(t) + 2 * BAND for t in texts)])[:-1]
-        gram = _grams(codes)
-        at = np.flatnonzero(self.marks[gram % np.uint64(MARKS)])
-        known = np.searchsorted(self.gram, gram[at])
-        known[known == len(self.gram)] = 0
-        real = self.gram[known] == gram[at]
-        at, known = at[real], known[real]
-        many = self.many[known]
-        entry = np.repeat(self.start[known] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        band = (np.repeat(at, many) - self.place[entry] + WINDOW) // BAND
-        window = self.window[entry].astype(np.int64)
-        bands = len(codes) // BAND + WINDOW
-        key = np.concatenate([window * bands + band, window * bands + band - 1])
-        key, shared = np.unique(key, return_counts=True)
-        window, band = key // bands, key % bands
-        enough = shared >= self.least[window]
-        window, low = window[enough], band[enough] * BAND - WINDOW
         found = []
-        for i in range(0, len(window), CANDIDATES):
-            part = slice(i, i + CANDIDATES)
-            edits, middle = self._align(codes, window[part], low[part])
-            hit = edits <= self.edits[window[part]]
-            found.append((np.searchsorted(first, middle[hit], side="right") - 1, window[part][hit], edits[hit]))
+        for grams in self.grams:
+            window, low = self._candidates(grams, codes)
+            for i in range(0, len(window), CANDIDATES):
+                part = slice(i, i + CANDIDATES)
+                edits, middle = self._align(codes, window[part], low[part])
+                hit = edits <= self.edits[window[part]]
+                found.append((np.searchsorted(first, middle[hit], side="right") - 1, window[part][hit], edits[hit]))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
 
+    def _candidates(self, grams: Grams, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, first of 2 * BAND diagonals) that share q-grams enough."""
+        at, place = grams.shared(codes)
+        band = (at - place + len(self.flat)) // BAND
+        bands = (len(codes) + len(self.flat)) // BAND + 2
+        # What is left out here is in no band that has enough for any window.
+        count = np.bincount(band, minlength=bands + 1)
+        pair = count[:-1] + count[1:]
+        enough = np.maximum(pair[band], pair[band - 1]) >= grams.least
+        place, band = place[enough], band[enough]
+        keys = []
+        for kind in self.kinds:
+            # Windows of a kind that hold a q-gram are neighbours.
+            begin = np.searchsorted((self.at + self.size)[kind], place + grams.q)
+            many = np.maximum(0, np.searchsorted(self.at[kind], place, side="right") - begin)
+            key = kind[_ranges(begin, many)] * bands + np.repeat(band, many)
+            keys += [key, key - 1]
+        key, shared = np.unique(np.concatenate(keys), return_counts=True)
+        window, band = key // bands, key % bands
+        enough = shared >= self.least[window]
+        window, band = window[enough], band[enough]
+        return window, band * BAND - len(self.flat) + self.at[window]
+
     def _align(self, codes: np.ndarray, window: np.ndarray, low: np.ndarray):
         """The fewest edits from each window to a stretch of text on the 2 * BAND
         diagonals from ``low`` on, with BAND more on either side to turn in, and
@@ -128,13 +175,14 @@ class Windows:
         width = 4 * BAND
         diagonal = np.arange(width)
         base = low - BAND
+        own = self._codes_of(window)
         cost = np.zeros((len(window), width), dtype=np.int32)
         best = np.full(len(window), WINDOW, dtype=np.int32)
         middle = base.copy()
         for i in range(int(self.size[window].max()) if len(window) else 0):
             place = base[:, None] + diagonal + i
             there = np.where((place >= 0) & (place < len(codes)), codes[np.clip(place, 0, len(codes) - 1)], 0)
-            step = cost + (there != self.codes[window, i][:, None])
+            step = cost + (there != own[:, i][:, None])
             step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
             cost = np.minimum.accumulate(step - diagonal, axis=1) + diagonal
             last = self.size[window] == i + 1
@@ -163,13 +211,15 @@ def find_leaks(
     """(key, item_key, windows, edits): the benchmark texts that show in each document.
 
     Texts are compared in lower case with single spaces. A document holds a
-    benchmark text if a stretch of it is within 8 % edits of a window (128
-    characters every 64, or the whole text if shorter); ``windows`` tells how
-    many of its windows are found and ``edits`` the fewest edits of one. Whole
-    documents are searched.
+    benchmark text if a stretch of it is within 8 % edits of a window (56
+    characters every 9 and 128 every 64, or the whole text if shorter), so every
+    excerpt of 64 characters or more shows; ``windows`` tells how many of its
+    windows are found and ``edits`` the fewest edits of one. Whole documents are
+    searched.
 
-    Benchmark texts under 40 characters, null ones, and those with a null key
-    are not searched for; null or empty documents hold none. Repeated benchmark
+    Of benchmark texts up to 12 characters 8 % is no edit: they are searched for
+    as they are, inside words too. Null and empty benchmark texts, and those with
+    a null key, are not searched for; null or empty documents hold none. Repeated benchmark
     rows count once per row, repeated document rows are taken together. Empty
     tables give no rows. A benchmark of over a million characters takes one pass
     over the documents per million.

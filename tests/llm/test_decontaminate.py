@@ -87,3 +87,37 @@ def test_odd_rows(spark, odd, none, docs):
     assert dc.find_leaks(odd, nothing).count() == 0
     assert dc.drop_leaks(odd, nothing).count() == odd.count()
     assert dc.drop_leaks(none, bench).columns == none.columns
+
+
+def test_every_excerpt(spark, docs):
+    """Excerpts of 64 to 80 characters from every offset are found, against plain substrings."""
+    rng = random.Random(9)
+    items = [(i, _words(rng, n)) for i, n in enumerate((13, 25, 45))]
+    rows = []
+    for i, passage in items:
+        for size in (30, 64, 65, 80):
+            for o in range(max(0, len(passage) - size) + 1):
+                part = passage[o:o + size]
+                rows.append((len(rows), f"{_words(rng, 9)} {part.upper()} {_words(rng, 9)}", i, part))
+    want = set()
+    for d, text, _, _ in rows:
+        text = dc.normal(text)
+        pieces = {text[k:k + 64] for k in range(len(text) - 63)}
+        want |= {(d, i) for i, p in items if any(p[k:k + 64] in pieces for k in range(len(p) - 63))}
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = dc.find_leaks(docs([r[:2] for r in rows]).repartition(3), bench)
+    got = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert want <= got and len(want) > 400
+    assert not {d for d, _ in got} & {d for d, _, _, part in rows if len(part) == 30}
+
+
+@pytest.mark.parametrize("size", [2, 7, 9, 10, 12, 13, 20, 25, 29, 37, 38, 39, 40, 55])
+def test_short_items_whole(size):
+    rng = random.Random(size)
+    passage = "".join(rng.choices("ghijklmnopqr", k=size))
+    windows = dc.Windows([(1, passage), (2, _words(rng, 30)), (3, ""), (4, None)])
+    edits = size * 8 // 100
+    texts = ["abc abc", f"aa{passage}bb", "", f"ab {_edited(rng, passage, edits)} ba", passage[:size // 2]]
+    where, window, _ = windows.search(texts)
+    got = set(where[windows.item[window] == 1].tolist())
+    assert got == {k for k, t in enumerate(texts) if slow_edits(passage, t) <= edits} >= {1, 3}
