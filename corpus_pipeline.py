@@ -28,18 +28,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints, the document with the smallest id, once."""
+    """Of each group of linked fingerprints, the document with the smallest id, once.
+
+    Where an id stands on several rows, they are told apart by their texts.
+    """
     known = docs.filter("doc_id is not null")
-    found = simhash.simhash_components(known, shingle=4, bits=4)
-    copies = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     repeated = cut(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
     if repeated.isEmpty():
-        return kept
+        found = simhash.simhash_components(known, shingle=4, bits=4)
+        copies = cut(found.filter("component_id <> doc_id").select("doc_id").distinct())
+        return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    digest, both, row = fresh(docs, "digest"), fresh(docs, "both"), fresh(docs, "row")
+    told = docs.withColumn(digest, F.xxhash64("text"))
+    known = told.filter("doc_id is not null").select(F.struct("doc_id", digest).alias(both), "text")
+    found = simhash.simhash_components(known, key=both, shingle=4, bits=4)
+    copies = cut(found.filter(F.col("component_id") != F.col(both)).select(f"{both}.*").distinct())
+    kept = told.join(copies, ["doc_id", digest], "left_anti")
     # Rows without an id are told apart, so that none of them is dropped as a repeat.
-    row = fresh(docs, "row")
     number = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    return kept.withColumn(row, number).dropDuplicates(["doc_id", row]).drop(row)
+    return kept.withColumn(row, number).dropDuplicates(["doc_id", digest, row]).select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,14 @@ def test_run(spark, corpus):
     ids = {r.doc_id for r in pieces}
     assert 204 not in ids and 200 not in ids and {1, 2, 3} <= ids and 5 not in ids
     assert all(r.offset + r.length <= 1024 for r in pieces)
+
+
+def test_near_copies_where_ids_repeat(spark, docs):
+    """An id on rows with different texts: every group of copies keeps one document."""
+    rng = random.Random(12)
+    a, b, c, d, e = (_text(rng) for _ in range(5))
+    rows = [(1, a), (2, b), (2, a), (3, c), (3, d), (3, c), (4, b), (5, e), (None, a), (None, a)]
+    kept = pipeline.drop_near_copies(spark, docs(rows).repartition(3), "")
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted(
+        [(0, a), (0, a), (1, a), (2, b), (3, c), (3, d), (5, e)])
+    assert kept.columns == docs(rows).columns
