@@ -24,7 +24,8 @@ def nonnegative_solve(gram: np.ndarray, rhs: np.ndarray, sweeps: int = 200) -> n
     Block principal pivoting: guess the set of positive entries, solve on it,
     move every entry of the wrong sign to the other side, repeat. When that
     stops making progress only the last wrong entry moves, which ends the
-    search after finitely many steps.
+    search after finitely many steps. Problems that are still open after
+    ``sweeps`` steps per entry raise ArithmeticError.
     """
     n, r = rhs.shape
     x = np.zeros((n, r))
@@ -59,6 +60,8 @@ def nonnegative_solve(gram: np.ndarray, rhs: np.ndarray, sweeps: int = 200) -> n
         todo = todo[count > 0]
         if len(todo) == 0:
             break
+    if len(todo):
+        raise ArithmeticError(f"{len(todo)} of {n} non-negative solves did not end in {sweeps * max(r, 1)} steps")
     return x
 
 

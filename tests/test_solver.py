@@ -65,3 +65,12 @@ def test_optimality_of_a_stack(rank):
     assert (x >= 0).all()
     assert (slope > -1e-6).all()
     assert np.abs(x * slope).max() < 1e-6
+
+
+def test_unfinished_solves_raise():
+    """Vectors that had no step to be solved in are not returned as if solved."""
+    gram = np.array([np.eye(2), [[1.0, 0.99], [0.99, 1.0]]])
+    rhs = np.array([[1.0, 2.0], [1.0, 0.1]])
+    with pytest.raises(ArithmeticError, match="2 of 2"):
+        nonnegative_solve(gram, rhs, sweeps=0)
+    assert np.allclose(nonnegative_solve(gram, rhs), [[1, 2], [1, 0]])
