@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions.lineage import scratch
-from reelspark.llm import decontaminate, language, packing, quality, simhash, substring, topk, toxicity, warc, wrappers
+from reelspark.llm import (
+    decontaminate,
+    kmeans,
+    language,
+    likelihood,
+    negatives,
+    packing,
+    quality,
+    simhash,
+    substring,
+    topk,
+    toxicity,
+    warc,
+    wrappers,
+)
 from reelspark.llm.common import bounded_sample, is_held_out, labelled_texts, table
 
 #: Documents that the language model is learned from at most, about.
@@ -141,3 +155,75 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return wrappers.extract(table(spark, folder, "pages"))
+
+
+@query("op11_hard_negatives", """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM e a JOIN e c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS n
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+    AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE n <= 3""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", moved)
+    return negatives.hard_negatives(rows, lambda key: key % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+@query("op12_quality_rules")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    good = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    ratio = likelihood.fit(docs, docs.join(good, "doc_id", "left_semi"))
+    return likelihood.quality_rules(docs, ratio)
+
+
+def _k_means_sql(k: int, rounds: int, width: int, salt: str) -> str:
+    """The rounds one after the other; whole numbers below 2**53 are held in doubles."""
+    steps = [f"""
+e AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS cluster, v AS c
+  FROM (SELECT sha256('{salt}' || CAST(vec_id AS VARCHAR)) AS h, v FROM e ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, v, cluster,
+         list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS d
+  FROM e CROSS JOIN c{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (
+  SELECT cluster, i, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n
+  FROM (SELECT cluster, unnest(v) AS x, unnest(range({width})) AS i FROM a{r}) GROUP BY cluster, i),
+m{r} AS (
+  SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS c FROM s{r} GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.cluster = m{r}.cluster)""")
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, a.cluster, CAST(d AS BIGINT) AS distance,
+       CAST(sum(d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} f ON a.cluster = f.cluster"""
+
+
+@query("op13_centroid_clustering", _k_means_sql(40, 5, 64, "2:"))
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return kmeans.k_means(table(spark, folder, "embeddings"), k=40, rounds=5, width=64, salt="2:")

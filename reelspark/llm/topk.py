@@ -28,13 +28,13 @@ EXACT = 2.0**53
 RESULT = "query_id bigint, vec_id bigint, score bigint"
 
 
-def integer_vectors(vectors: DataFrame, key: str, vector: str, scale: int = 256) -> DataFrame:
-    """(id, v): floor(scale * x) of every vector without null or non-finite components."""
+def integer_vectors(vectors: DataFrame, key: str, vector: str, scale: int = 256, *others: Column) -> DataFrame:
+    """(id, v, *others): floor(scale * x) of every vector without null or non-finite components."""
     x = F.col(vector)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)))
     return vectors.filter(x.isNotNull() & F.col(key).isNotNull()).filter(finite).select(
         F.col(key).cast("bigint").alias("id"),
-        F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(float(scale)))).alias("v"),
+        F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(float(scale)))).alias("v"), *others,
     )
 
 
