@@ -96,24 +96,32 @@ def is_held_out(key: Column, parts: int, held: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == held, F.lit(True))
 
 
+#: Characters that a line counts for beside its own, when texts are chosen by size.
+LINE_CHARS = 64
+
+
 def labelled_texts(
     docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int, key: str = "doc_id", text: str = "text"
 ) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels to fit a classifier on: about ``rows`` labelled rows and ``chars`` characters at most.
+    """Whole texts and 0/1 labels to fit a classifier on: about ``rows`` labelled rows and ``chars`` characters at most.
 
-    Rows are chosen by a hash of the key; a text of over a hundredth of
-    ``chars`` is not learned from. The chosen labels, at most about ``rows``,
-    are broadcast.
+    Rows are chosen by hashes of the key alone: first about ``rows`` of the
+    labels, which are broadcast, then of these, in the order of another hash, as
+    many as together hold ``chars`` characters, a line counting for
+    ``LINE_CHARS`` more; the first is taken whatever it holds.
     """
     known = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"))
     chosen = F.broadcast(bounded_sample(known, "key", rows))
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(
-        F.length("text") <= chars // 100)
-    found = cut(texts.join(chosen, "key"))
-    size = found.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > chars:
-        found = found.filter(share(F.col("key"), 1) < F.lit(chars / size))
-    got = found.orderBy("key", "text").toArrow()
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    found = cut(texts.join(chosen, "key").withColumn("place", share(F.col("key"), 1)))
+    size = F.length("text") + F.lit(LINE_CHARS) * (F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    # A row for each chosen key.
+    sizes = found.groupBy("place").agg(F.sum(size).alias("size")).orderBy("place").collect()
+    ends = np.cumsum([r["size"] for r in sizes])
+    if len(sizes) and ends[-1] > chars:
+        last = sizes[max(0, int(np.searchsorted(ends, chars, side="right")) - 1)]["place"]
+        found = found.filter(F.col("place") <= F.lit(last))
+    got = found.orderBy("key", "text").select("text", "label").toArrow()
     return got["text"].to_pylist(), got["label"].to_numpy().astype(np.int64)
 
 

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import slices
 
 STEPS, RATE, DECAY = 150, 0.1, 1e-3
-#: Lines of one document that are learned from at most; scoring takes all.
-LINES_LEARNED = 256
 
 FEATURES = 3 * 16 + 2
 
@@ -149,13 +147,11 @@ class Model:
 def train(texts: list[str], labels: np.ndarray) -> Model:
     """Fit the field by Adam on the conditional likelihood of the line labels.
 
-    Only documents have labels; every line takes its document's. Without texts
+    Only documents have labels; every line of a whole text takes its document's. Without texts
     of both classes all weights are zero, so every score is one half.
     """
     labels = np.asarray(labels, dtype=np.int64)
     encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    # A stretch of a very long document is enough to learn from.
-    encoded = [b"\n".join(t.split(b"\n")[:LINES_LEARNED]) for t in encoded]
     x, lines, _ = line_features(encoded)
     mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
     spread = np.maximum(x.std(axis=0), 1e-3) if len(x) else np.ones(x.shape[1])

@@ -1,9 +1,13 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word's vector is the mean of the embeddings of its hashed character n-grams,
-a text's vector the mean over its distinct words; embeddings and softmax are trained
-together. A misspelling that was never seen shares most n-grams, and so most of
-its vector, with the word it is made from.
+A word's vector is the mean of the embeddings of its hashed character n-grams.
+A text is read in passages of ``PASSAGE`` words; a passage's vector is the mean
+over its distinct words, and the softmax gives its probability of being toxic. A
+text is toxic if one of its passages is: it is learned with one minus the product
+of the passages' chances of not being, and scored by its worst passage, so a few
+toxic words weigh the same in a long text as in a short one. Embeddings and
+softmax are trained together, on the labels of whole texts. A misspelling that was never seen shares most n-grams, and
+so most of its vector, with the word it is made from.
 """
 
 from __future__ import annotations
@@ -17,17 +21,19 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import slices
 
 BUCKETS, WIDTH, ORDERS = 1 << 18, 8, (3, 4, 5, 6)
-EPOCHS, RATE, DECAY = 80, 0.05, 3e-5
-#: What a text's mean is multiplied by: few words of a toxic text are toxic.
-SCALE = 64.0
-#: N-grams in fewer training texts than this share, or than three, are not learned.
-LEAST_SHARE = 0.006
-#: Share of the training texts that only set the slope and bias of the final score.
-CALIBRATION = 0.2
+EPOCHS, RATE, DECAY = 120, 0.05, 3e-5
+#: Words of a passage.
+PASSAGE = 16
+#: What a passage's mean is multiplied by: few words of a toxic passage are toxic.
+SCALE = 16.0
+#: N-grams in fewer training texts are not learned.
+LEAST_TEXTS = 3
+#: By how much more the toxic texts count, of what would make both classes weigh the same.
+BALANCE = 1.0
 
 
 class Bags:
-    """Texts as bags of distinct words, and those words as bags of n-gram buckets."""
+    """Texts as passages, those as bags of distinct words, and words as bags of n-gram buckets."""
 
     def __init__(self, texts: pa.Array):
         lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -39,9 +45,14 @@ class Bags:
         self.texts = len(texts)
         self.words = len(coded.dictionary)
         word = coded.indices.to_numpy().astype(np.int64)
-        pair = np.unique(text * max(1, self.words) + word)
-        self.text, self.word = pair // max(1, self.words), pair % max(1, self.words)
-        self.length = np.maximum(1, np.bincount(self.text, minlength=self.texts))
+        many = np.bincount(text, minlength=self.texts)
+        passages = np.maximum(1, -(-many // PASSAGE))  # an empty text has one, without words
+        self.of = np.repeat(np.arange(self.texts), passages)
+        self.first = first = np.cumsum(passages) - passages
+        nth = np.arange(len(text)) - (np.cumsum(many) - many)[text]
+        pair = np.unique((first[text] + nth // PASSAGE) * max(1, self.words) + word)
+        self.passage, self.word = pair // max(1, self.words), pair % max(1, self.words)
+        self.length = np.maximum(1, np.bincount(self.passage, minlength=len(self.of)))
         self.gram, self.owner = self._grams(coded.dictionary.to_pylist())
         self.grams = np.maximum(1, np.bincount(self.owner, minlength=self.words))
 
@@ -66,13 +77,13 @@ class Bags:
         return np.concatenate(bucket).astype(np.int32), np.concatenate(of)
 
     def means(self, value: np.ndarray) -> np.ndarray:
-        """Per text, the mean over its distinct words of the mean of ``value`` over their n-grams."""
+        """Per passage, the mean over its distinct words of the mean of ``value`` over their n-grams."""
         word = np.bincount(self.owner, value[self.gram], minlength=self.words) / self.grams
-        return np.bincount(self.text, word[self.word], minlength=self.texts) / self.length
+        return np.bincount(self.passage, word[self.word], minlength=len(self.of)) / self.length
 
     def back(self, slope: np.ndarray) -> np.ndarray:
-        """The transpose of ``means``: the gradient by bucket from that by text."""
-        word = np.bincount(self.word, (slope / self.length)[self.text], minlength=self.words) / self.grams
+        """The transpose of ``means``: the gradient by bucket from that by passage."""
+        word = np.bincount(self.word, (slope / self.length)[self.passage], minlength=self.words) / self.grams
         return np.bincount(self.gram, word[self.owner], minlength=BUCKETS)
 
     def frequent(self, least: int) -> np.ndarray:
@@ -81,15 +92,13 @@ class Bags:
         gram = self.gram[order]
         many = np.bincount(self.owner, minlength=self.words)
         start = np.cumsum(many) - many
-        first = np.searchsorted(self.text, np.arange(self.texts + 1))
+        first = np.searchsorted(self.of[self.passage], np.arange(self.texts + 1))
         texts = np.zeros(BUCKETS, dtype=np.int64)
         for a, b in zip(first, first[1:], strict=False):
-            own = self.word[a:b]
+            own = np.unique(self.word[a:b])
             n = many[own]
             place = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            there = np.zeros(BUCKETS, dtype=bool)
-            there[gram[place]] = True
-            texts += there
+            texts[np.unique(gram[place])] += 1
         return texts >= least
 
     def only(self, buckets: np.ndarray) -> None:
@@ -99,38 +108,47 @@ class Bags:
 
 
 class Model:
-    """The trained softmax; ``value`` is every bucket's embedding times the difference of the class weights."""
+    """The trained softmax; ``value`` is every bucket's embedding times the difference of
+    the class weights. ``shift`` is added to a text's log odds before they become its score."""
 
-    def __init__(self, value: np.ndarray, bias: float):
-        self.value, self.bias = value, bias
+    def __init__(self, value: np.ndarray, bias: float, shift: float = 0.0):
+        self.value, self.bias, self.shift = value, bias, shift
+
+    def odds(self, bags: Bags) -> np.ndarray:
+        """Per text, the log of the odds that its worst passage is toxic."""
+        return np.maximum.reduceat(bags.means(self.value) + self.bias, bags.first)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if not len(texts):
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(Bags(texts).means(self.value) + self.bias, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.odds(Bags(texts)) + self.shift, -500, 500)))
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
+def clear(bags: Bags, logit: np.ndarray) -> np.ndarray:
+    """Per text, minus the log of the chance that none of its passages is toxic."""
+    return np.bincount(bags.of, np.logaddexp(0, logit), minlength=bags.texts)
+
+
+def _fit(texts: list[str], labels: np.ndarray, seed: int) -> Model:
     """Fit embeddings, class weights and biases together, by Adam on all texts at once.
 
     The logits need only each embedding's products with the two class weights,
     so a step projects the embeddings and averages the products; the gradients
-    of both factors follow from that of the products. Texts held back from
-    this then set how steep the score is and where it crosses one half. With
-    one class or no texts, every score is that class's share (0.5 if none).
+    of both factors follow from that of the products. Toxic texts, the fewer,
+    count for more. With one class or no texts, every score is that class's
+    share (0.5 if none).
     """
-    labels = np.asarray(labels, dtype=np.int64)
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if len(labels) else 0.5
-    offset = np.array([0.0, np.log(share / (1 - share))])
     if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros(BUCKETS), offset[1] - offset[0])
+        return Model(np.zeros(BUCKETS), np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
-    aside = rng.random(len(labels)) < CALIBRATION
-    every, labels = labels, labels[~aside]
-    bags = Bags(pa.array([t for t, x in zip(texts, aside, strict=True) if not x], pa.large_string()))
-    bags.only(bags.frequent(max(3, int(LEAST_SHARE * len(labels)))))
+    bags = Bags(pa.array(texts, pa.large_string()))
+    bags.only(bags.frequent(LEAST_TEXTS))
+    weight_of = np.where(labels == 1, ((1 - share) / share) ** BALANCE, 1.0)
+    weight_of = weight_of / weight_of.sum()
     used = np.unique(bags.gram)
-    state = [rng.normal(0, 0.1, (len(used), WIDTH)), rng.normal(0, 1.0, (WIDTH, 2)), offset]
+    rare = share * bags.texts / len(bags.of)  # as if a toxic text had one toxic passage
+    state = [rng.normal(0, 0.1, (len(used), WIDTH)), rng.normal(0, 1.0, (WIDTH, 2)), np.array([0.0, np.log(rare / (1 - rare))])]
     moment = [[np.zeros_like(x), np.zeros_like(x)] for x in state]
     value = np.zeros(BUCKETS)  # buckets that are not learned say nothing
     for step in range(1, EPOCHS + 1):
@@ -138,7 +156,11 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         # Two classes: only the difference of their logits matters, and the
         # gradient of the one's products is minus the other's.
         value[used] = SCALE * (embed @ (weight[:, 1] - weight[:, 0]))
-        slope = (1 / (1 + np.exp(-np.clip(bags.means(value) + offset[1] - offset[0], -500, 500))) - labels) / len(labels)
+        logit = bags.means(value) + offset[1] - offset[0]
+        toxic = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+        none = np.exp(-clear(bags, logit))
+        pull = weight_of * np.where(labels == 1, -none / np.maximum(1 - none, 1e-9), 1.0)
+        slope = toxic * pull[bags.of]
         back = SCALE * bags.back(slope)[used]
         back = np.stack([-back, back], axis=1)
         grads = [back @ weight.T + DECAY * embed, embed.T @ back, np.array([-slope.sum(), slope.sum()])]
@@ -148,38 +170,36 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
     embed, weight, offset = state
     value[used] = SCALE * (embed @ (weight[:, 1] - weight[:, 0]))
-    bias = float(offset[1] - offset[0])
-    held = Bags(pa.array([t for t, x in zip(texts, aside, strict=True) if x], pa.large_string()))
-    steep, shift = _calibrate(held.means(value) + bias, every[aside])
-    return Model(value * steep, bias * steep + shift)
-
-
-def _calibrate(logit: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and bias of a logistic fit of the labels, by Newton steps that are
-    halved until they help; a pull towards (1, 0) keeps separable labels finite."""
-    if len(np.unique(labels)) < 2:
-        return 1.0, 0.0
-    x = np.stack([logit, np.ones(len(logit))], axis=1)
-    start = np.array([1.0, 0.0])
-
-    def loss(at):
-        return np.logaddexp(0, np.where(labels == 1, -1, 1) * (x @ at)).sum() + ((at - start) ** 2).sum() / 2
-
-    at = start
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - labels) + at - start)
-        while loss(at - step) > loss(at) and np.abs(step).max() > 1e-9:
-            step = step / 2
-        at = at - step
-    return max(float(at[0]), 1e-3), float(at[1])
+    return Model(value, float(offset[1] - offset[0]))
+
+
+def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
+    """Fit on all texts, and set where the score crosses one half by what models of either half say of the other."""
+    labels = np.asarray(labels, dtype=np.int64)
+    model = _fit(texts, labels, seed)
+    half = np.random.default_rng(seed).random(len(labels)) < 0.5
+    if any(len(np.unique(labels[x])) < 2 for x in (half, ~half)):
+        return model
+    odds = np.zeros(len(labels))
+    for learned in (half, ~half):
+        own = [t for t, x in zip(texts, learned, strict=True) if x]
+        other = [t for t, x in zip(texts, learned, strict=True) if not x]
+        odds[~learned] = _fit(own, labels[learned], seed).odds(Bags(pa.array(other, pa.large_string())))
+    return Model(model.value, model.bias, -_cut_off(odds, labels))
+
+
+def _cut_off(odds: np.ndarray, labels: np.ndarray) -> float:
+    """The log odds from which on texts are best called toxic, by the harmonic mean of precision and recall."""
+    order = np.argsort(-odds, kind="stable")
+    hits = np.cumsum(labels[order])
+    best = int(np.argmax(2 * hits / (np.arange(len(labels)) + 1 + hits[-1])))
+    return float(odds[order[best:best + 2]].mean())
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) for every row of ``docs``: the probability of being toxic.
 
-    Whole texts count. A null or empty text gets the score of the bias alone;
+    Whole texts count. A null or empty text is one passage without words and gets the score of the bias alone;
     repeated rows give repeated rows. The model goes to the tasks as a broadcast
     variable of fixed size (one number per bucket).
     """

@@ -102,12 +102,40 @@ def test_toxicity_and_misspellings(odd, none):
 
 def test_toxicity_gradient():
     """``back`` is the transpose of ``means``."""
-    bags = toxicity.Bags(pa.array(["ab cd ab", "", "cd efghij"]))
+    bags = toxicity.Bags(pa.array(["ab cd ab", "", "cd efghij " * 20]))
     rng = np.random.default_rng(1)
-    value, slope = rng.normal(size=toxicity.BUCKETS), rng.normal(size=3)
+    value, slope = rng.normal(size=toxicity.BUCKETS), rng.normal(size=len(bags.of))
+    assert bags.of.tolist() == [0, 1, 2, 2, 2]  # passages of 16 words
     assert bags.means(value) @ slope == pytest.approx(bags.back(slope) @ value)
 
 
+def test_toxicity_score_by_hand():
+    """The score from its definition, word by word and n-gram by n-gram."""
+    rng = np.random.default_rng(3)
+    value = rng.normal(0, 5, toxicity.BUCKETS)
+    texts = ["Some words here, some more ab", "x " * 40 + "end", "", None, "one  two\nthree"]
+
+    def bucket(gram):
+        h = 2166136261
+        for c in gram:
+            h = (h ^ ord(c)) * 16777619 % 2**32
+            h ^= h >> 15
+        return h * 2654435761 % 2**32 >> 14
+
+    def of_word(word):
+        word = f"<{word}>"
+        grams = [bucket(word[i:i + n]) for n in toxicity.ORDERS for i in range(len(word) - n + 1)]
+        return sum(value[g] for g in grams) / max(1, len(grams))
+
+    def slow(text):
+        words = (text or "").lower().split()
+        passages = [set(words[i:i + toxicity.PASSAGE]) for i in range(0, max(1, len(words)), toxicity.PASSAGE)]
+        return max(sum(map(of_word, p)) / max(1, len(p)) for p in passages) - 0.4 + 0.1
+
+    want = [1 / (1 + np.exp(-slow(t))) for t in texts]
+    assert toxicity.Model(value, -0.4, 0.1).score(pa.array(texts)) == pytest.approx(want)
+
+
 def test_toxicity_without_two_classes():
     assert toxicity.train([], []).score(pa.array(["x", None])).tolist() == [0.5, 0.5]
     assert toxicity.train(["a", "b"], [0, 0]).score(pa.array(["x"]))[0] < 0.01
@@ -119,6 +147,23 @@ def test_samples_are_bounded_and_stable(spark, docs):
     assert a == b and 200 < len(a) < 400
     assert bounded_sample(rows, "doc_id", 5000).count() == 2000
     labels = spark.createDataFrame([(i, i % 2) for i in range(1500)] + [(3, None)], "doc_id bigint, toxic int")
+    whole, _ = labelled_texts(rows, labels, "toxic", 5000, 10**6)
+    some, _ = labelled_texts(rows, labels, "toxic", 5000, 40_000)
+    assert len(whole) == 1500 and 300 < len(some) < 600 and set(some) < set(whole)
     texts, y = labelled_texts(rows, labels, "toxic", 100, 10_000)
     assert 50 < len(texts) < 160 and set(y) == {0, 1}
     assert all(int(t.split()[1]) % 2 == v for t, v in zip(texts, y, strict=True))
+
+
+def test_long_texts_are_learned_whole(spark, docs):
+    """Neither a text's characters nor its lines are cut, and no text is passed over for its length."""
+    texts = {1: "long " * 40_000 + "tail", 2: "\n".join(f"line {i}" for i in range(400)), 3: "short", 4: None}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id bigint, toxic int")
+    got, y = labelled_texts(docs(list(texts.items())), labels, "toxic", 100, 1_000_000)
+    assert sorted(got) == sorted(t for t in texts.values() if t) and sorted(y) == [0, 1, 1]
+    one, _ = labelled_texts(docs([(1, texts[1])]), labels, "toxic", 100, 1000)
+    assert one == [texts[1]]
+    lines = ["Plain words stand here."] * 300 + ["@@ ## !! $$ %%"] * 100
+    model = quality.train(["\n".join(lines), "Plain words stand here.\n" * 20], np.array([0, 1]))
+    seen = quality.train(["\n".join(lines[:256]), "Plain words stand here.\n" * 20], np.array([0, 1]))
+    assert not np.allclose(model.mean, seen.mean)  # the lines after the 256th count

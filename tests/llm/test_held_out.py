@@ -20,10 +20,14 @@ def _held(spark, name, truth, key):
 
 @pytest.mark.parametrize("name, truth, key, guess, least", [
     ("op2_quality_classifier", "labels", "quality", "predicted", 0.95),
-    ("op5_toxicity", "labels", "toxic", "predicted", 0.85),
+    ("op5_toxicity", "labels", "toxic", "predicted", 0.92),
     ("op8_language_id", "documents", "lang", "lang_pred", 0.97),
 ])
 def test_accuracy(spark, name, truth, key, guess, least):
     rows = _held(spark, name, truth, key)
     assert len(rows) > 50 and all(0 <= r.score <= 1 for r in rows)
     assert sum(r[guess] == r[key] for r in rows) / len(rows) >= least
+    if name == "op5_toxicity":  # few are toxic, so that none is found must not pass
+        toxic = [r for r in rows if r.toxic]
+        assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic)
+        assert sum(r.predicted for r in rows) <= 2 * len(toxic)
