@@ -118,6 +118,37 @@ def test_recommendations_over_many_blocks(factors, rate):
         assert got[a] == {i + 1: (m, -s) for i, (s, m) in enumerate(best)}
 
 
+def test_blocks_that_cannot_reach_the_best_are_left_out(factors, rate, tmp_path):
+    """Films of small norm are scored for no user, and the answer is that of scoring all."""
+    rng = np.random.default_rng(4)
+    u = {i: rng.uniform(0.5, 1, 3) for i in range(40)}
+    v = {i: rng.uniform(0.5, 1, 3) * 0.97**i for i in range(300)}
+    rows = [(a, m, 1.0) for a in range(40) for m in range(a % 7)]
+    seen = {(a, b) for a, b, _ in rows}
+
+    def log(group):
+        with open(tmp_path / f"{group.ids[0]}", "w") as f:
+            f.write(f"{group.scored} {group.skipped} {len(group.ids)}")
+
+    top = scoring.recommend_top(factors(u), factors(v), rate(rows), 3, n=4, per_block=(10, 20), log=log)
+    got = {}
+    for r in top.collect():
+        got.setdefault(r.userId, []).append((r.position, r.movieId))
+    for a, w in u.items():
+        best = sorted((-np.float32(w.astype("f4").astype(float) @ x.astype("f4").astype(float)), m)
+                      for m, x in v.items() if (a, m) not in seen)[:4]
+        assert sorted(got[a]) == [(i + 1, m) for i, (_, m) in enumerate(best)]
+    scored, skipped, users = np.array([p.read_text().split() for p in tmp_path.iterdir()], int).sum(axis=0)
+    assert users == 40 and skipped > 2 * scored
+
+
+def test_one_side_of_the_scores_is_replicated(factors, rate):
+    top = scoring.recommend_top(factors({1: (1, 1), 2: (1, 2)}), factors({1: (1, 1)}), rate([(1, 1, 1.0)]), 2, n=1, per_block=(1, 1))
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(") == 1
+    assert "Aggregate" not in plan and "Window" not in plan and "collect_list" not in plan
+
+
 @pytest.mark.parametrize("rank, min_rows", [(1, None), (2, 4), (3, 100_000), (2, 1)])
 def test_fold_in(factors, rate, rank, min_rows):
     """Splitting an entity's rows over tasks does not change its solve."""
