@@ -18,6 +18,7 @@ from reelspark.operators.ratings import (
     upsert_ratings,
 )
 from reelspark.plans.model import Model, Params
+from reelspark.sources.ratings_store import RatingsStore
 
 
 def _changed(ratings: DataFrame, batch: DataFrame, kind: str, params: Params) -> DataFrame:
@@ -41,7 +42,7 @@ class Changes:
     removed: DataFrame
 
 
-def changes(model: Model, batch: DataFrame, kind: str = "rate") -> Changes:
+def changes(model: Model, batch: DataFrame, kind: str = "rate", touched: DataFrame | None = None) -> Changes:
     """Change the ratings and re-solve the small profiles the batch touches.
 
     ``kind`` is ``rate`` (userId, movieId, rating), ``own`` or ``remove``
@@ -49,13 +50,13 @@ def changes(model: Model, batch: DataFrame, kind: str = "rate") -> Changes:
     factors get the mean of what their users propose; then films are solved
     against the updated users. A user left without ratings keeps the old
     factors. From the ratings table only the rows that share a user or film with
-    the batch are taken; they and the factors solved from them are written to the
-    shared folder.
+    the batch are taken, or ``touched`` if the caller has them; they and the
+    factors solved from them are written to the shared folder.
     """
     p = model.params
     # Every row the batch changes shares a user with it, so the change can be
     # made on the touched rows alone.
-    touched = cut(touched_rows(model.ratings, batch))
+    touched = cut(touched_rows(model.ratings, batch) if touched is None else touched)
     touched = cut(_changed(touched, batch, kind, p))
     user_rows, item_rows = map(cut, select_for_update(touched, batch, p.threshold))
 
@@ -95,3 +96,16 @@ def apply_batch(model: Model, batch: DataFrame, kind: str = "rate") -> Model:
     """The model after a batch, see ``changes``. Its tables are read from the old
     ones and from the changes, so ``save_model`` starts a long chain anew."""
     return apply_changes(model, changes(model, batch, kind))
+
+
+def apply_to_store(
+    model: Model, store: RatingsStore, batch: DataFrame, kind: str = "rate"
+) -> tuple[Model, RatingsStore]:
+    """The model and its ratings store after a batch, see ``changes``.
+
+    Only the batch's buckets of the store are read, and a delta is added to it;
+    the model's ratings are those of the store.
+    """
+    made = changes(model, batch, kind, store.touched(batch))
+    after = store.apply(made.ratings, made.removed if kind == "remove" else None).compact()
+    return apply_changes(model, made).with_(ratings=after.rows()), after

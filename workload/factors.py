@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reelspark.functions.lineage import cut
+from reelspark.functions.lineage import cut, scratch
 from reelspark.functions.vectors import dot
 from reelspark.operators import factors as fa
 from reelspark.operators import foldin, scoring
 from reelspark.operators import ratings as ra
-from reelspark.plans.incremental import apply_batch
+from reelspark.plans.incremental import apply_batch, apply_to_store
 from reelspark.plans.model import Model, Params, fit, fit_implicit, implicit_labels, no_ids, recommend
+from reelspark.sources.ratings_store import RatingsStore
 from workload import views as v
 from workload.registry import flat, query
 
@@ -187,17 +188,19 @@ def f7_remove_ratings(spark, sf):
 
 
 def _touched_sql(key: str) -> str:
-    """Plain joins of tables that are made once."""
+    """The rows of small profiles that ``batch`` touches in ``upserted``, by plain joins."""
     return f"""
-        WITH base AS MATERIALIZED ({v.SQL["base"]}),
-        batch AS MATERIALIZED ({v.SQL["batch"]}),
-        upserted AS MATERIALIZED ({_UPSERTED}),
-        asked AS MATERIALIZED (SELECT {key} AS id FROM batch GROUP BY {key}),
-        small AS MATERIALIZED (
-            SELECT asked.id AS id FROM upserted JOIN asked ON upserted.{key} = asked.id
-            GROUP BY asked.id HAVING COUNT(upserted.full_train) <= 20)
         SELECT upserted.userId AS userId, upserted.movieId AS movieId, upserted.rating AS rating
-        FROM upserted JOIN small ON upserted.{key} = small.id"""
+        FROM upserted JOIN (
+            SELECT asked.id AS id
+            FROM upserted JOIN (SELECT {key} AS id FROM batch GROUP BY {key}) asked ON upserted.{key} = asked.id
+            GROUP BY asked.id HAVING COUNT(upserted.full_train) <= 20) small ON upserted.{key} = small.id"""
+
+
+def _selected_sql(key: str) -> str:
+    """The same from tables that are made once."""
+    return (f"WITH base AS MATERIALIZED ({v.SQL['base']}), batch AS MATERIALIZED ({v.SQL['batch']}), "
+            f"upserted AS MATERIALIZED ({_UPSERTED}) {_touched_sql(key)}")
 
 
 def _selected(spark, sf, side: int):
@@ -207,12 +210,12 @@ def _selected(spark, sf, side: int):
     return cut(ra.select_for_update(ratings, batch, 20)[side])
 
 
-@query("f8_select_users", _touched_sql("userId"))
+@query("f8_select_users", _selected_sql("userId"))
 def f8_select_users(spark, sf):
     return _selected(spark, sf, 0)
 
 
-@query("f8_select_films", _touched_sql("movieId"))
+@query("f8_select_films", _selected_sql("movieId"))
 def f8_select_films(spark, sf):
     return _selected(spark, sf, 1)
 
@@ -401,14 +404,38 @@ def _applied(changed: str) -> dict[str, str]:
     }
 
 
-@query("f14_apply_batch", v.with_views(["base", "batch", "films", "customers"], _applied(_UPSERTED), """
+_UPDATED = """
     SELECT 'user' AS side, id, ROUND(f1, 4) AS value FROM users_now
     UNION ALL SELECT 'item', id, ROUND(f1, 4) FROM items_then
     UNION ALL SELECT 'updated user', id, 0 FROM new_users
     UNION ALL SELECT 'updated item', id, 0
-    FROM (SELECT id FROM new_items UNION SELECT id FROM proposed)"""))
+    FROM (SELECT id FROM new_items UNION SELECT id FROM proposed)"""
+
+
+@query("f14_apply_batch", v.with_views(["base", "batch", "films", "customers"], _applied(_UPSERTED), _UPDATED))
 def f14_apply_batch(spark, sf):
-    model = apply_batch(_model(spark, sf), cut(v.batch(spark, sf)))
+    return _updated(apply_batch(_model(spark, sf), cut(v.batch(spark, sf))))
+
+
+def _stored(spark, sf):
+    """The same batch on a store of the ratings: (model, store) after it."""
+    model = _model(spark, sf)
+    store = RatingsStore.create(model.ratings, scratch(spark, "ratings"), buckets=16)
+    return apply_to_store(model, store, cut(v.batch(spark, sf)))
+
+
+@query("f14_apply_batch_stored", v.with_views(["base", "batch", "films", "customers"], _applied(_UPSERTED), _UPDATED))
+def f14_apply_batch_stored(spark, sf):
+    return _updated(_stored(spark, sf)[0])
+
+
+@query("f14_stored_ratings", v.with_views(["base", "batch"], {}, _UPSERTED))
+def f14_stored_ratings(spark, sf):
+    """The store's rows after the batch, its delta merged with the whole part."""
+    return _stored(spark, sf)[1].rows()
+
+
+def _updated(model: Model):
     value = F.round(F.get("features", F.lit(0)).cast("double"), 4).alias("value")
     out = None
     for side, df in (("user", model.user_factors), ("item", model.item_factors)):
