@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.common import cut, share
 
-#: Pivots; the table of summaries and the pivots themselves are this many rows.
-PIVOTS = 128
+#: Pivots at least and at most; between, the root of the number of vectors. The
+#: table of summaries and the pivots themselves are this many rows.
+PIVOTS, MOST_PIVOTS = 128, 1024
 #: Vectors and queries that meet in one place at most (on average, by a hash).
 DATA_TILE, QUERY_TILE = 16_384, 4_096
 EXACT = 2.0**53
@@ -90,21 +91,42 @@ def _solve(k: int, width: int, exact: bool):
     return run
 
 
-def _local(queries: DataFrame, data: DataFrame, tiles: dict[int, int], blocks: int, k: int, width: int, exact: bool):
-    """The best k of each query among the data of the groups it was sent to."""
-    many = F.create_map(*[F.lit(x) for pair in sorted(tiles.items()) for x in pair])
-    n = F.element_at(many, F.col("cell"))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = queries.withColumn("tile", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("block", block)
-    right = data.select(
-        "cell", "id", "v", F.pmod(F.xxhash64("id"), n).cast("int").alias("tile"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
+def _of(counts: dict[int, int]) -> Column:
+    """The number of the row's cell."""
+    return F.element_at(F.create_map(*[F.lit(x) for c in sorted(counts) for x in (c, counts[c])]), F.col("cell"))
+
+
+def _asked(queries: DataFrame) -> dict[int, int]:
+    """Blocks of queries that stand with each cell; a row per pivot at most."""
+    return {r.cell: math.ceil(r.n / QUERY_TILE) for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _local(queries: DataFrame, data: DataFrame, tiles: dict[int, int], k: int, width: int, exact: bool):
+    """The best k of each query among the data of the groups it was sent to.
+
+    A group's vectors are dealt to tiles and the queries that stand with it to
+    blocks. A vector goes once to each block of its own group, and nowhere if no
+    query asks for the group.
+    """
+    blocks = _asked(queries)
+    if not blocks:
+        return data.sparkSession.createDataFrame([], RESULT)
+
+    left = queries.withColumn("tile", F.explode(F.sequence(F.lit(0), _of(tiles) - 1))).withColumn(
+        "block", F.pmod(F.xxhash64("id"), _of(blocks)).cast("int"))
+    right = copies(data, tiles, blocks)
     on = ["cell", "tile", "block"]
     return left.select("id", "v", *on).groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(
         _solve(k, width, exact), RESULT)
 
 
+def copies(data: DataFrame, tiles: dict[int, int], blocks: dict[int, int]) -> DataFrame:
+    """(cell, id, v, tile, block): the vectors of the cells asked for, once for each block of queries there."""
+    return data.filter(F.col("cell").isin(sorted(blocks))).select(
+        "cell", "id", "v", F.pmod(F.xxhash64("id"), _of(tiles)).cast("int").alias("tile"),
+        F.explode(F.sequence(F.lit(0), _of(blocks) - 1)).alias("block"))
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -112,7 +134,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def top_k(
     vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 5, key: str = "vec_id", vector: str = "embedding",
-    scale: int = 256, pivots: int = PIVOTS,
+    scale: int = 256, pivots: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` highest integer inner products.
 
@@ -127,13 +149,14 @@ def top_k(
     """
     spark = vectors.sparkSession
     ints = cut(integer_vectors(vectors, key, vector, scale))
-    width, largest, queries_n = ints.agg(
+    width, largest, rows_n, queries_n = ints.agg(
         F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))),
-        F.count_if(is_query(F.col("id"))),
+        F.count(F.lit(1)), F.count_if(is_query(F.col("id"))),
     ).first()
     if not queries_n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     exact = int(largest or 0) ** 2 * max(1, width) < EXACT
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, math.isqrt(rows_n)))
     first = ints.orderBy(share(F.col("id")), "id").limit(pivots).collect()  # at most `pivots` vectors
     centre = np.zeros((len(first), width))
     for i, row in enumerate(first):
@@ -155,9 +178,8 @@ def top_k(
         F.count(F.lit(1)).alias("n"), F.max("away").alias("radius"), F.max("norm").alias("norm")
     ).collect()  # one row per pivot at most
     tiles = {r.cell: math.ceil(r.n / DATA_TILE) for r in summary}
-    blocks = math.ceil(queries_n / QUERY_TILE)
-    queries = grouped.filter(is_query(F.col("id"))).select("id", "v", "cell")
-    home = cut(_best(_local(queries, grouped, tiles, blocks, k, width, exact), k))
+    queries = cut(grouped.filter(is_query(F.col("id"))).select("id", "v", "cell"))
+    home = cut(_best(_local(queries, grouped, tiles, k, width, exact), k))
     floor = home.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     cells = np.array([r.cell for r in summary], dtype=np.int32)
@@ -178,8 +200,8 @@ def top_k(
                 names=["id", "v", "cell"])
 
     asking = queries.join(floor, queries.id == floor.query_id, "left").select("id", "v", "cell", "floor")
-    away = asking.mapInArrow(send, "id bigint, v array<bigint>, cell int")
-    far = _local(away, grouped, tiles, blocks, k, width, exact)
+    away = cut(asking.mapInArrow(send, "id bigint, v array<bigint>, cell int"))
+    far = _local(away, grouped, tiles, k, width, exact)
     return _best(home.select("query_id", "vec_id", "score").union(far), k).select(
         "query_id", "rank", "vec_id", "score")
 

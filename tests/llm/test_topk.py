@@ -52,3 +52,12 @@ def test_odd_rows(spark):
 def test_large_components_stay_exact(spark):
     rows = [(0, [2.0**20 + 1, 3.0]), (1, [2.0**20 + 3, 1.0]), (2, [2.0**20 + 2, 2.0])]
     assert _run(spark, rows) == slow(rows, 5, 5)
+
+
+def test_data_go_only_where_queries_are(spark):
+    """A vector is copied once for each block of its own cell, and not at all without one."""
+    data = spark.createDataFrame([(c, i, [1]) for c in range(4) for i in range(50)], "cell int, id bigint, v array<bigint>")
+    got = topk.copies(data, {c: 3 for c in range(4)}, {0: 1, 2: 2}).groupBy("cell").count().collect()
+    assert {r.cell: r["count"] for r in got} == {0: 50, 2: 100}
+    queries = spark.createDataFrame([(0, i, [1]) for i in range(4)] + [(2, 1, [1])], "cell int, id bigint, v array<bigint>")
+    assert topk._asked(queries) == {0: 1, 2: 1}
