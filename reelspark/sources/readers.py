@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.operators.catalogue import MISSING
+from reelspark.sources.quoted import read_quoted_csv
 
 RATINGS = "userId BIGINT, movieId BIGINT, rating FLOAT"
 MOVIES = (
@@ -37,8 +38,10 @@ def read_ratings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_movies(spark: SparkSession, path: str) -> DataFrame:
-    """``N/A`` is null; quoted plots may hold quotes and line breaks."""
-    movies = _csv(spark, path, MOVIES, nullValue=MISSING, multiLine=True, escape='"')
+    """``N/A`` is null; quoted plots may hold quotes and line breaks. A file is read by many tasks."""
+    named = read_quoted_csv(spark, path, null_value=MISSING)
+    columns = [c.strip().split(" ") for c in MOVIES.split(",")]
+    movies = named.select(*[F.col(n).cast(t).alias(n) for n, t in columns])
     return movies.withColumn("imdb_votes", F.col("imdb_votes").cast("bigint"))
 
 
