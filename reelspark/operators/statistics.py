@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelspark.functions.ordering import order_key
@@ -134,11 +138,32 @@ def popularity_by_user(ratings: DataFrame, min_rows: int = SLICE_ROWS) -> DataFr
     )
 
 
+def choose_samples(ratings: DataFrame, samples: Sequence[tuple[int, int]]) -> DataFrame:
+    """(sample, userId): for the i-th (n, seed) of ``samples``, ``n`` users without replacement.
+
+    A sample is the users with the smallest keys of its seed. All are taken in
+    one pass: a task hands on no more users of a sample than the sample needs,
+    and those are merged. Samples of more than ``SLICE_ROWS`` users are ranked
+    in slices instead; the users are the same.
+    """
+    users = ratings.select("userId").distinct()
+    most = max((n for n, _ in samples), default=0)
+    keys = [F.struct(F.lit(i).alias("sample"), order_key(seed, F.col("userId")).alias("_key"))
+            for i, (_, seed) in enumerate(samples)]
+    if most > SLICE_ROWS:
+        ranked = [rank_all(users.withColumn("_key", order_key(seed, F.col("userId"))), "_key", "userId", "_rn").filter(
+            F.col("_rn") <= n).select(F.lit(i).alias("sample"), "userId") for i, (n, seed) in enumerate(samples)]
+        return reduce(DataFrame.unionByName, ranked)
+    keyed = users.select("userId", F.inline(F.array(*keys)))
+    order = W.partitionBy("sample").orderBy("_key", "userId")
+    sizes = F.array(*[F.lit(n) for n, _ in samples])
+    return keyed.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= most).filter(
+        F.col("_rn") <= F.get(sizes, F.col("sample"))).select("sample", "userId")
+
+
 def choose_users(ratings: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` users without replacement: (userId)."""
-    users = ratings.select("userId").distinct()
-    keyed = users.withColumn("_key", order_key(seed, F.col("userId")))
-    return rank_all(keyed, "_key", "userId", "_rn").filter(F.col("_rn") <= n).select("userId")
+    return choose_samples(ratings, [(n, seed)]).select("userId")
 
 
 def sample_users(ratings: DataFrame, n: int, seed: int = 9) -> DataFrame:

@@ -93,12 +93,17 @@ def _exceeds_int(ratings: DataFrame, cols: list[str]) -> set[str]:
     return {c for c in wide if top[c] is not None and top[c] > LARGEST_INT}
 
 
+def blocks_for(ratings: int) -> int:
+    """The solver's blocks on either side for so many ratings."""
+    return max(LEAST_BLOCKS, math.ceil(ratings / RATINGS_PER_BLOCK))
+
+
 def _fit_factors(ratings: DataFrame, params: Params, **extra) -> tuple[DataFrame, DataFrame]:
     """Alternating least squares with non-negative factors; returns both tables
     under the ids of ``ratings``."""
     spark = ratings.sparkSession
     allow_checkpoints(spark)
-    blocks = params.blocks or max(LEAST_BLOCKS, math.ceil(ratings.count() / RATINGS_PER_BLOCK))
+    blocks = params.blocks or blocks_for(ratings.count())
     settings = {"numUserBlocks": blocks, "numItemBlocks": blocks, **params.als, **extra}
     als = ALS(
         rank=params.rank, maxIter=params.iters, regParam=params.reg, seed=params.seed,

@@ -156,3 +156,9 @@ def test_a_large_user_is_summed_in_slices(spark, factors, rate):
     for j, u, sse, n in whole:
         mine = [(m, r) for x, m, r in rows if x == u]
         assert n == len(mine) and sse == pytest.approx(sum((r - w[j, u] @ v[m]) ** 2 for m, r in mine), rel=1e-5)
+
+
+def test_blocks_of_a_fit_follow_the_ratings():
+    from reelspark.plans.model import LEAST_BLOCKS, blocks_for
+
+    assert blocks_for(0) == blocks_for(5_000_000) == LEAST_BLOCKS and blocks_for(50_000_001) == 51

@@ -2,6 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from reelspark.functions.ordering import order_key
+from reelspark.functions.ranking import rank_all
 from reelspark.operators import statistics as st
 
 
@@ -63,5 +65,25 @@ def test_sample(ratings):
     assert got == st.sample_users(ratings, 2, seed=5).collect()
 
 
+def test_samples_of_one_pass_are_those_of_a_full_ranking(rate, monkeypatch):
+    rated = rate([(u, m, 1.0) for u in range(300) for m in range(u % 3 + 1)])
+    wanted = [(5, 1), (40, 2), (0, 3), (1000, 4)]
+
+    def ranked(n, seed):
+        keyed = rated.select("userId").distinct().withColumn("_key", order_key(seed, rated.userId))
+        return sorted(r.userId for r in rank_all(keyed, "_key", "userId", "_rn").filter(f"_rn <= {n}").collect())
+
+    def got():
+        rows = st.choose_samples(rated, wanted).collect()
+        return [sorted(r.userId for r in rows if r.sample == i) for i in range(len(wanted))]
+
+    want = [ranked(n, seed) for n, seed in wanted]
+    assert got() == want and [len(x) for x in want] == [5, 40, 0, 300]
+    plan = st.choose_samples(rated, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # a task hands on a bounded summary
+    monkeypatch.setattr(st, "SLICE_ROWS", 100)
+    assert got() == want
+
+
 def test_top_raters(ratings):
     assert [tuple(r) for r in st.top_raters(ratings).collect()] == [(1, 2), (2, 1)]
