@@ -38,9 +38,36 @@ def _stationary(model, rank: int):
     return sums.select("userId", met.alias("stationary"))
 
 
-def _fitted(model, rank: int = 10):
+def _stationary_implicit(model, rank: int, alpha: float = 1.0):
+    """``_stationary`` for implicit feedback: every film counts, as liked or not, one with
+    a rating r by 1 + alpha * |r|; the penalty is by the number of liked films.
+
+    The part of the films without a rating is the sum of all films' outer
+    products, rank * rank numbers, which are brought to the driver.
+    """
+    reg = model.params.reg
+    u = model.user_factors.select(F.col("id").alias("userId"), F.col("features").alias("u"))
+    i = model.item_factors.select(F.col("id").alias("movieId"), F.col("features").alias("i"))
+    at = lambda v, k: F.get(v, F.lit(k)).cast("double")
+    outer = i.agg(*[F.sum(at("i", a) * at("i", b)) for a in range(rank) for b in range(rank)]).first()
+    rated = model.ratings.join(i, "movieId").join(u, "userId").withColumn("more", F.lit(alpha) * F.abs("rating"))
+    liked = (F.col("rating") > 0).cast("double")
+    miss = F.col("more") * dot(F.col("u"), F.col("i"), rank) - liked * (1 + F.col("more"))
+    sums = rated.withColumn("liked", liked).withColumn("miss", miss).groupBy("userId").agg(
+        F.sum("liked").alias("n"), F.any_value("u").alias("u"),
+        *[F.sum(F.col("miss") * at("i", k)).alias(f"g{k}") for k in range(rank)])
+    met = F.lit(True)
+    for k in range(rank):
+        x = at("u", k)
+        whole = sum((F.lit(outer[k * rank + j]) * at("u", j) for j in range(rank)), F.lit(0.0))
+        slope = (F.col(f"g{k}") + whole + F.lit(reg) * F.col("n") * x) / (F.col("n") + 1)
+        met = met & (slope > -1e-3) & ((x == 0) | (slope < 1e-3))
+    return sums.select("userId", met.alias("stationary"))
+
+
+def _fitted(model, rank: int = 10, check=_stationary):
     """``_summary`` and, for users, whether the fit's last step is solved."""
-    solved = _stationary(model, rank).select(
+    solved = check(model, rank).select(
         F.lit("user").alias("side"), F.col("userId").alias("id"), "stationary")
     return _summary(model).join(solved, ["side", "id"], "left").withColumn(
         "stationary", F.coalesce("stationary", F.col("side") == "item"))
@@ -89,9 +116,10 @@ def f2_implicit_labels(spark, sf):
     return implicit_labels(v.ratings(spark, sf))
 
 
-@query("f2_fit_implicit", v.with_views(["ratings"], {}, _FIT))
+@query("f2_fit_implicit", v.with_views(["ratings"], {}, f"SELECT *, true AS stationary FROM ({_FIT})"))
 def f2_fit_implicit(spark, sf):
-    return _summary(fit_implicit(cut(v.ratings(spark, sf)), Params(rank=10, iters=5)))
+    model = fit_implicit(cut(v.ratings(spark, sf)), Params(rank=10, iters=5))
+    return _fitted(model, check=_stationary_implicit)
 
 
 _SCORED = {
