@@ -37,7 +37,7 @@ def corpus(spark, tmp_path_factory):
 
 def test_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry.queries()["pipeline"] is pipeline.run
     assert [n for n, _ in pipeline.STAGES][-1] == "best-fit packing" and len(pipeline.STAGES) == 5
 
