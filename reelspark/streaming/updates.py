@@ -76,7 +76,9 @@ def _newest(spark: SparkSession, root: str, numbers: list[int], name: str, schem
 def load_current(spark: SparkSession, root: str) -> Model:
     """The model as the newest complete version leaves it."""
     known = versions(spark, root)
-    base = max(n for n, origin in known.items() if origin.get("whole"))
+    base = max((n for n, origin in known.items() if origin.get("whole")), default=None)
+    if base is None:
+        raise ValueError(f"{root}: no model there; start_model saves one")
     model = load_model(spark, version_path(root, base))
     later = [n for n in known if n > base]
     if not later:
@@ -106,9 +108,9 @@ def apply_to_saved(root: str, kind: str = "rate", stream: str | None = None):
         known = versions(spark, root)
         if any((o.get("stream"), o.get("batch")) == (name, number) for o in known.values()):
             return
-        path = version_path(root, max(known) + 1)
         with scratch_scope(spark):
             made = changes(load_current(spark, root), batch, kind)
+            path = version_path(root, max(known) + 1)
             none = F.lit(None)
             removed = made.removed.select(
                 *KEY, none.cast("float").alias("rating"), none.cast("boolean").alias("full_train"),
