@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,3 +72,30 @@ def scratch_scope(spark: SparkSession):
         for path in paths:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(hadoop).delete(folder, True)
+
+
+def kept(spark: SparkSession, make: Callable[[], DataFrame], path: str | None = None) -> DataFrame:
+    """What ``make`` returns, written to the shared folder (to ``path`` if it is given); all
+    that ``cut`` wrote on the way there is deleted."""
+    path = path or scratch(spark, "kept")
+    with scratch_scope(spark):
+        made = make()
+        made.write.parquet(path)
+        schema = made.schema
+    return spark.read.schema(schema).parquet(path)
+
+
+@contextmanager
+def released(spark: SparkSession):
+    """A block at whose end the data that fits cached inside it are released.
+
+    For a driver that does one thing at a time: what other threads cache
+    meanwhile is released too, and computed again where it is needed.
+    """
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    try:
+        yield
+    finally:
+        for number, rdd in dict(spark.sparkContext._jsc.getPersistentRDDs()).items():
+            if number not in before:
+                rdd.unpersist(False)

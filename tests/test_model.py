@@ -303,10 +303,19 @@ def test_scratch_tables_end_with_their_scope(spark, rate):
     assert set(folder.iterdir()) == before
 
 
-def test_cross_validation_of_users(rate):
+def test_cross_validation_of_users(rate, spark):
+    from pathlib import Path
+
+    from reelspark.functions import lineage
+
     rows = _sample(24, 12, 0.9, 13)
     grid = [Params(rank=2, iters=2, reg=r) for r in (0.1, 1.0)]
+    folder, cached = Path(lineage.shared_dir(spark)), set(spark.sparkContext._jsc.getPersistentRDDs())
+    before = {x.name for x in folder.iterdir()}
     curves = cross_validate_users(rate(rows), grid, folds=2, most=4)
+    left = [x.name for x in folder.iterdir() if x.name not in before and x.name.startswith(("step-", "kept-", "curve-"))]
+    assert len(left) == 4 and all(n.startswith("curve-") for n in left)
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= cached
     assert {(r.setting, r.fold) for r in curves.collect()} == {(0, 0), (0, 1), (1, 0), (1, 1)}
     assert {r.j for r in curves.collect()} <= {1, 2, 3, 4}
     wide = pivot_curves(curves, 4)
