@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -43,16 +44,22 @@ def allow_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder)
 
 
-#: Paths to delete at the end of each open ``scratch_scope``.
-_open_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Paths to delete at the end of each open ``scratch_scope`` of the thread."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder. It lasts as long as the innermost open
     ``scratch_scope``, or until the folder is cleared."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _open_scopes:
-        _open_scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return path
 
 
@@ -63,11 +70,11 @@ def scratch_scope(spark: SparkSession):
     Results that still read them must be written before the block ends.
     """
     paths: list[str] = []
-    _open_scopes.append(paths)
+    _scopes.open.append(paths)
     try:
         yield
     finally:
-        _open_scopes.remove(paths)
+        _scopes.open.pop()
         hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

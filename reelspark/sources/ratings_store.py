@@ -13,16 +13,19 @@ from the same manifest one finds its number taken.
 
 from __future__ import annotations
 
-import json
 import math
 import uuid
 from dataclasses import dataclass, replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reelspark.sources import manifests
+from reelspark.sources.manifests import ConcurrentUpdate, files
+
+__all__ = ["ConcurrentUpdate", "Manifest", "RatingsStore"]
+
 KEY = ["userId", "movieId"]
 SCHEMA = "userId BIGINT, movieId BIGINT, rating FLOAT, full_train BOOLEAN, gone BOOLEAN, bucket INT"
 SIDES = {"userId": "by_user", "movieId": "by_film"}
@@ -33,10 +36,6 @@ LEAST_BUCKETS, MOST_BUCKETS = 64, 4096
 MOST_DELTAS, MOST_SHARE = 16, 0.2
 
 
-class ConcurrentUpdate(RuntimeError):
-    """Another writer has changed the store since its manifest was read."""
-
-
 @dataclass(frozen=True)
 class Manifest:
     number: int
@@ -69,13 +68,8 @@ class RatingsStore:
 
     @classmethod
     def latest(cls, spark: SparkSession, path: str) -> RatingsStore:
-        fs, jvm = _files(spark, path)
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/manifests")
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        newest = max(int(n) for n in names if n.isdigit())
-        text = spark.read.text(f"{path.rstrip('/')}/manifests/{newest}").first()[0]
-        fields = json.loads(text)
-        return cls(spark, path, Manifest(**fields | {"number": newest, "deltas": tuple(fields["deltas"])}))
+        number, fields = manifests.latest(spark, path.rstrip("/"))
+        return cls(spark, path, Manifest(**fields | {"number": number, "deltas": tuple(fields["deltas"])}))
 
     def _write(self, kind: str, rows: DataFrame) -> str:
         """Write a part in both orders; a bucket with very many rows is dealt to several tasks and files."""
@@ -96,24 +90,7 @@ class RatingsStore:
     def _commit(self, manifest: Manifest) -> RatingsStore:
         """Let the manifest appear under the next number; an error if another writer took it."""
         number = self.manifest.number + 1
-        fields = {k: v for k, v in vars(manifest).items() if k != "number"}
-        fs, jvm = _files(self.spark, self.path)
-        hadoop = jvm.org.apache.hadoop.fs
-        folder = f"{self.path}/manifests"
-        fs.mkdirs(hadoop.Path(folder))
-        draft, final = hadoop.Path(f"{folder}/draft-{uuid.uuid4().hex}"), hadoop.Path(f"{folder}/{number}")
-        out = fs.create(draft, False)
-        out.write(bytearray(json.dumps(fields).encode()))
-        out.close()
-        files = hadoop.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        no_options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
-        try:
-            files.rename(files.makeQualified(draft), files.makeQualified(final), no_options)  # refuses a name that is taken
-        except Py4JJavaError as e:
-            fs.delete(draft, False)
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                raise ConcurrentUpdate(f"{self.path}: manifest {number} is there") from e
-            raise
+        manifests.commit(self.spark, self.path, number, {k: v for k, v in vars(manifest).items() if k != "number"})
         return RatingsStore(self.spark, self.path, replace(manifest, number=number))
 
     def _read(self, part: str, side: str, buckets: list[int] | None) -> DataFrame:
@@ -198,15 +175,10 @@ class RatingsStore:
 
     def clean(self) -> list[str]:
         """Delete the parts that this manifest doesn't name; for times without other writers or readers."""
-        fs, jvm = _files(self.spark, self.path)
+        fs, jvm = files(self.spark, self.path)
         named = {self.manifest.base, *self.manifest.deltas, "manifests"}
         gone = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.path)) if s.getPath().getName() not in named]
         for path in gone:
             fs.delete(path, True)
         return [p.getName() for p in gone]
 
-
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.lineage import scratch
 from reelspark.plans.model import Model, Params, no_ids
+from reelspark.sources.keyed_table import KeyedTable
 from reelspark.sources.model_store import load_model, load_predictions, save_model
 from reelspark.sources.readers import (
     read_genome,
@@ -92,6 +93,17 @@ def s5_append_table(spark, sf):
     return read_table(spark, path)
 
 
+@query("s5_append_keyed", v.with_views(["base", "batch"], {}, """
+    SELECT * FROM base UNION ALL
+    SELECT * FROM batch ANTI JOIN base USING (userId, movieId)"""))
+def s5_append_keyed(spark, sf):
+    """The same in one step each, keys compared only with the files that can hold them."""
+    table = KeyedTable(spark, scratch(spark, "keyed"), ["userId", "movieId"])
+    table.append(v.base(spark, sf).drop("full_train"))
+    table.append(v.batch(spark, sf), skip_present=True)
+    return table.read()
+
+
 @query("s5_append_tables", v.with_views(["ratings", "movies", "genome"], {}, """
     SELECT 'movies' AS name, COUNT(*) AS n FROM movies
     UNION ALL SELECT 'links', COUNT(*) FROM movies
