@@ -335,3 +335,11 @@ def test_cross_validation_does_not_depend_on_partitions(rate):
     grid = {"regParam": [0.1], "rank": [2], "maxIter": [2]}
     few, many = (cross_validate_ratings(rated.repartition(n), grid, folds=2).first() for n in (2, 5))
     assert few[:-1] == many[:-1] and few.rmse == pytest.approx(many.rmse, abs=1e-4)
+
+
+def test_small_groups_of_users_make_no_more_copies_of_films(factors, rate):
+    assert scoring.places_for(800_000, 64, 12) == scoring.places_for(800_000, 32_768, 12) == 24
+    u, v = {i: (1, i % 7) for i in range(600)}, {i: (1, i % 5) for i in range(30)}
+    many, few = (scoring.recommend_top(factors(u), factors(v), rate([(1, 1, 1.0)]), 2, n=3, per_block=(size, 8)) for size in (2, 600))
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    assert many.rdd.getNumPartitions() <= scoring.LEAST_PLACES
