@@ -337,6 +337,24 @@ def test_cross_validation_does_not_depend_on_partitions(rate):
     assert few[:-1] == many[:-1] and few.rmse == pytest.approx(many.rmse, abs=1e-4)
 
 
+def test_samples_of_few_users_share_films_between_folds(rate):
+    """Users with neighbouring keys don't get a film's ratings into one fold."""
+    from reelspark.functions.ordering import order_key
+    from reelspark.plans.tuning import rating_fold
+
+    users = rate([(u, 1, 1.0) for u in range(200_000)]).orderBy(order_key(9, F.col("userId"))).limit(40).select("userId")
+    rated = rate([(r.userId, m, 1.0 + m % 5) for r in users.collect() for m in range(60)])
+    folds = rated.groupBy("movieId").agg(F.countDistinct(rating_fold(2, 9)).alias("n"))
+    assert folds.filter("n = 2").count() == 60
+    got = cross_validate_ratings(rated, {"regParam": [0.1], "rank": [2], "maxIter": [2]}, folds=2, samples=[(40, 0)]).first()
+    assert got.train_movies > 20 and 0 < got.rmse < 6
+
+
+def test_folds_without_a_known_film_have_no_error(rate):
+    got = cross_validate_ratings(rate([(u, u, 3.0) for u in range(30)]), {"regParam": [0.1], "rank": [2], "maxIter": [2]}, folds=2).first()
+    assert got.train_ratings > 0 and got.rmse is None
+
+
 def test_small_groups_of_users_make_no_more_copies_of_films(factors, rate):
     assert scoring.places_for(800_000, 64, 12) == scoring.places_for(800_000, 32_768, 12) == 24
     u, v = {i: (1, i % 7) for i in range(600)}, {i: (1, i % 5) for i in range(30)}
