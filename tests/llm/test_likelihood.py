@@ -127,3 +127,24 @@ def test_verdicts_on_the_given_tables(spark):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     rows = QUERIES["op12_quality_rules"](spark, FOLDER).filter("not base_failed").join(labels, "doc_id").collect()
     assert len(rows) > 100 and sum(r.kept == (r.quality == 1) for r in rows) >= 0.99 * len(rows)
+
+
+def test_every_trusted_text_counts(spark, monkeypatch, tmp_path):
+    """Also those beyond what was once a bound on the ids, and whatever the table of bits says."""
+    from reelspark.llm import queries
+    from reelspark.llm.common import having
+
+    docs = spark.range(400).selectExpr("if(id = 7, null, id) doc_id", "concat('w', id) text")
+    good = docs.select("doc_id").filter("doc_id % 3 = 0 or doc_id is null").unionByName(docs.select("doc_id").filter("doc_id = 9"))
+    want = {i for i in range(400) if i % 3 == 0}
+    for bits in (64, 1 << 16):
+        got = [r.doc_id for r in having(docs, good, "doc_id", bits).collect()]
+        assert sorted(got) == sorted(want)
+    labels = spark.range(400).selectExpr("id doc_id", "1 quality", "0 toxic")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    seen = []
+    fit = queries.likelihood.fit
+    monkeypatch.setattr(queries.likelihood, "fit", lambda raw, trusted: seen.append(trusted.count()) or fit(raw, trusted))
+    queries.QUERIES["op12_quality_rules"](spark, str(tmp_path)).count()
+    assert seen == [399]

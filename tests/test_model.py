@@ -361,3 +361,9 @@ def test_small_groups_of_users_make_no_more_copies_of_films(factors, rate):
     many, few = (scoring.recommend_top(factors(u), factors(v), rate([(1, 1, 1.0)]), 2, n=3, per_block=(size, 8)) for size in (2, 600))
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
     assert many.rdd.getNumPartitions() <= scoring.LEAST_PLACES
+
+
+def test_solver_blocks_are_no_more_than_the_ratings_need():
+    from reelspark.plans.model import LEAST_BLOCKS, solver_blocks
+
+    assert solver_blocks(3_600_000) == solver_blocks(36_000_000) == LEAST_BLOCKS and solver_blocks(400_000_001) == 21
