@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -203,3 +204,39 @@ def test_region_against_all_elements():
     place, _ = w._layout(read)
     assert [read[k].marks for k, p in enumerate(place) if p == found and read[k].name and not read[k].name.startswith("</")] == [("text",)]
     assert w.region([], frozenset()) is None and w.region(["", "<p>"], frozenset()) is None
+
+
+def _by_digest(make, first, last, many):
+    """Pages of ``make`` whose digest starts with a character from ``first`` to ``last``."""
+    all_ = (make(n) for n in range(100_000))
+    found = (p for p in all_ if first <= hashlib.md5(p.encode()).hexdigest()[0] <= last)
+    return [next(found) for _ in range(many)]
+
+
+def test_all_pages_of_a_host_count(pages):
+    """A text that the pages with the smallest digests share, and no other, is not the template's; nor is their region."""
+    def one(n, headline, text, notes):
+        return (f"<html><body><div class=top>Brand Name</div><div class=news>{headline}</div><div class=text>{text}</div>"
+                f"<div class=note2>{notes}</div></body></html>")
+
+    long = "<p>" + " ".join(["word{0}"] * 40) + "</p>"
+    few = _by_digest(lambda n: one(n, "Elections today", f"short {n}", long.format(n)), "0", "1", 9)
+    rest = _by_digest(lambda n: one(n, f"Headline {n}", long.format(n), "short"), "8", "f", 40)
+    rows = [(n, f"http://news.example/{n}", p) for n, p in enumerate(few + rest)] + [(99, "http://news.example/", " \n")]
+    twice = pages(rows + rows).repartition(5)
+    known = {r.host: ({x.text for x in r.known}, r.region) for r in w.wrappers(twice).collect()}
+    site = few + rest
+    assert known["news.example"] == ({"Brand Name"}, w.region(site, frozenset(w.fixed(w.infer(site), len(site)))))
+    got = {r.page_id: r.text for r in w.extract(twice).collect()}
+    assert got[99] == "" and all("Brand" not in t for t in got.values())
+    assert all(got[9 + n].startswith("word") for n in range(40))
+
+
+@pytest.mark.parametrize("make", [_site, _plain, lambda n: _long(n, 3 + n)])
+def test_wrappers_against_one_by_one(pages, make):
+    """The known texts and the region are those of all pages aligned one after the other."""
+    site = sorted((make(n) for n in range(30)), key=lambda p: hashlib.md5(p.encode()).hexdigest())
+    got = w.wrappers(pages([(n, "http://a.example/", p) for n, p in enumerate(site)]).repartition(3)).collect()
+    known = w.fixed(w.infer(site), 30)
+    assert [(x.place, x.text) for r in got for x in r.known or ()] == known
+    assert [r.region for r in got] == [w.region(site, frozenset(known))]
