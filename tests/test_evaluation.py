@@ -1,13 +1,16 @@
 import math
+import time
 
 import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reelspark.functions.lineage import forget
 from reelspark.operators import curves as cu
 from reelspark.operators import profiles as pr
 from reelspark.operators.foldin import prefix_solve
+from reelspark.plans import tuning
 from reelspark.plans.evaluation import evaluate, evaluate_ownership
 from reelspark.plans.model import Model, Params, no_ids
 
@@ -162,3 +165,56 @@ def test_blocks_of_a_fit_follow_the_ratings():
     from reelspark.plans.model import LEAST_BLOCKS, blocks_for
 
     assert blocks_for(0) == blocks_for(5_000_000) == LEAST_BLOCKS and blocks_for(50_000_001) == 51
+
+
+@pytest.mark.parametrize("by", ["users", "ratings"])
+def test_cross_validation_leaves_no_shuffles(spark, rate, by):
+    """Each fit's shuffles are dropped when it is done, so the disk needed doesn't grow with the grid."""
+    rated = rate([(u, m, float(1 + (u * m) % 5)) for u in range(40) for m in range(u % 2, 30, 2)])
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    forget(spark)
+    before, most = tracker.shuffleStatuses().size(), []
+
+    class Counted(tuning.KnownError):
+        def _evaluate(self, dataset):
+            found = super()._evaluate(dataset)
+            most.append(tracker.shuffleStatuses().size())
+            return found
+
+    if by == "users":
+        grid = [Params(rank=2, iters=6, reg=r) for r in (0.1, 1.0)]
+        got = tuning.cross_validate_users(rated, grid, folds=2, most=4)
+        assert {(r.setting, r.fold) for r in got.collect()} == {(s, f) for s in (0, 1) for f in (0, 1)}
+    else:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(tuning, "KnownError", Counted)
+            got = tuning.cross_validate_ratings(rated, {"regParam": [0.1, 0.5, 1.0], "maxIter": [12]}, folds=2)
+        assert got.count() == 3 and len(most) == 6
+        # Those of two fits, each its blocks of ratings and one iteration, not of twelve iterations of six fits.
+        assert max(most) - before < 2 * 24
+    forget(spark)
+    until = time.time() + 20
+    while time.time() < until and tracker.shuffleStatuses().size() > before + 24:
+        time.sleep(0.2)
+    assert tracker.shuffleStatuses().size() <= before + 24
+
+
+def test_user_folds_take_ratings_without_a_user_to_train(spark, rate, monkeypatch):
+    """Every rating is tested in its user's fold and trained on in the others; one without a fold in all."""
+    seen = []
+    monkeypatch.setattr(tuning, "fit", lambda train, params: seen.append(train) or Model(params, *[None] * 5))
+    monkeypatch.setattr(Model, "train_items", lambda self: None)
+
+    def curve(items, trained, test, params, most):
+        rows = sorted(map(tuple, seen.pop().collect())), sorted(map(tuple, test.collect()))
+        pairs.append(rows)
+        return spark.createDataFrame([(1, 0.5)], "j int, rmse double")
+
+    pairs = []
+    monkeypatch.setattr(tuning, "error_curve", curve)
+    rows = [(u, m, 3.0) for u in range(7) for m in range(3)] + [(1, 0, 3.0)]
+    tuning.cross_validate_users(rate(rows), [Params()], folds=2)
+    left = {r.userId for r in pr.user_folds(rate(rows), 2, 9).collect() if r.fold is None}
+    assert len(pairs) == 2 and len(left) == 1
+    for train, test in pairs:
+        assert sorted(train + test) == sorted(rows) and not {r[0] for r in test} & ({r[0] for r in train} | left)
