@@ -24,6 +24,20 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture
+def shuffles(spark):
+    """How many of the shuffles made since the start of the test are still kept."""
+    from reelspark.functions.lineage import forget
+
+    def ids():
+        kept = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+        return set(kept.keysIterator().mkString(",").split(","))
+
+    forget(spark)
+    before = ids()
+    return lambda: len(ids() - before)
+
+
 @pytest.fixture
 def rate(spark):
     """Ratings from tuples."""

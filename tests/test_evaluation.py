@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.functions.lineage import forget
 from reelspark.operators import curves as cu
 from reelspark.operators import profiles as pr
 from reelspark.operators.foldin import prefix_solve
@@ -168,17 +167,15 @@ def test_blocks_of_a_fit_follow_the_ratings():
 
 
 @pytest.mark.parametrize("by", ["users", "ratings"])
-def test_cross_validation_leaves_no_shuffles(spark, rate, by):
+def test_cross_validation_drops_shuffles(shuffles, rate, by):
     """Each fit's shuffles are dropped when it is done, so the disk needed doesn't grow with the grid."""
     rated = rate([(u, m, float(1 + (u * m) % 5)) for u in range(40) for m in range(u % 2, 30, 2)])
-    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
-    forget(spark)
-    before, most = tracker.shuffleStatuses().size(), []
+    most = []
 
     class Counted(tuning.KnownError):
         def _evaluate(self, dataset):
             found = super()._evaluate(dataset)
-            most.append(tracker.shuffleStatuses().size())
+            most.append(shuffles())
             return found
 
     if by == "users":
@@ -191,12 +188,11 @@ def test_cross_validation_leaves_no_shuffles(spark, rate, by):
             got = tuning.cross_validate_ratings(rated, {"regParam": [0.1, 0.5, 1.0], "maxIter": [12]}, folds=2)
         assert got.count() == 3 and len(most) == 6
         # Those of two fits, each its blocks of ratings and one iteration, not of twelve iterations of six fits.
-        assert max(most) - before < 2 * 24
-    forget(spark)
-    until = time.time() + 20
-    while time.time() < until and tracker.shuffleStatuses().size() > before + 24:
+        assert max(most) < 2 * 24
+    until = time.time() + 10
+    while time.time() < until and shuffles() > 24:
         time.sleep(0.2)
-    assert tracker.shuffleStatuses().size() <= before + 24
+    assert shuffles() <= 24
 
 
 def test_user_folds_take_ratings_without_a_user_to_train(spark, rate, monkeypatch):

@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.functions.lineage import forget
 from reelspark.operators import foldin, scoring
 from reelspark.plans.incremental import apply_batch
 from reelspark.plans.model import (
@@ -379,15 +378,12 @@ def test_fit_blocks_are_as_small_as_a_task_needs():
     assert fit_blocks(216_000_000) == 44 and all(n / fit_blocks(n) <= MOST_PER_TASK for n in (1, 50_000_001, 10**10))
 
 
-def test_a_fit_drops_the_shuffles_of_its_iterations(spark, rate):
+def test_a_fit_drops_the_shuffles_of_its_iterations(shuffles, rate):
     """While the model is in use, those of the last one and of the blocks of ratings may stay, whatever their number."""
     rated = rate([(u, m, float(1 + (u * m) % 5)) for u in range(30) for m in range(u % 3, 40, 3)])
-    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
-    forget(spark)
-    before = tracker.shuffleStatuses().size()
-    model = fit(rated, Params(rank=3, iters=12))
-    until = time.time() + 20
-    while time.time() < until and tracker.shuffleStatuses().size() > before + 8:
+    model = fit(rated, Params(rank=3, iters=9))
+    until = time.time() + 10
+    while time.time() < until and shuffles() > 8:
         time.sleep(0.2)
-    assert tracker.shuffleStatuses().size() <= before + 8
+    assert shuffles() <= 8
     assert model.user_factors.count() == 30 and model.item_factors.count() == 40
